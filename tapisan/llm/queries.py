@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapisan.config import read_table
-from tapisan.llm import neardup
+from tapisan.config import read_table, small_rows
+from tapisan.llm import langid, neardup
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -29,3 +29,26 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.groups(_article_links(spark, sf)).withColumnRenamed("id", "ordinal")
+
+
+def _label_map(spark: SparkSession, sf: str) -> dict[str, str | None]:
+    return {r[0]: r[1] for r in small_rows(read_table(spark, sf, "lang_labels").select("label", "lang"), 10_000, "lang_labels")}
+
+
+def _segments(spark: SparkSession, sf: str):
+    articles, known = read_table(spark, sf, "articles"), _label_map(spark, sf)
+    model = langid.fit_on(articles, "ordinal", ["title", "description"], "lang", known)
+    return articles, known, langid.identify(articles, "ordinal", model, "title", "description")
+
+
+@query
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    articles, known, segments = _segments(spark, sf)
+    return langid.contradictions(segments, articles, "ordinal", "lang", known)
+
+
+@query
+def p1_languages(spark: SparkSession, sf: str) -> DataFrame:
+    """Language and confidence of every article and of every title and line that switches."""
+    _, _, segments = _segments(spark, sf)
+    return segments.filter("seg_kind = 'record' or lang != main_lang").select("ordinal", "seg_kind", "line_no", "lang", "confidence")
