@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapisan.config import read_table, small_rows
 from tapisan.llm import langid, neardup
+from tapisan.llm import lines as repeated
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -52,3 +53,33 @@ def p1_languages(spark: SparkSession, sf: str) -> DataFrame:
     """Language and confidence of every article and of every title and line that switches."""
     _, _, segments = _segments(spark, sf)
     return segments.filter("seg_kind = 'record' or lang != main_lang").select("ordinal", "seg_kind", "line_no", "lang", "confidence")
+
+
+@query
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return repeated.repeated_lines(read_table(spark, sf, "articles"), "ordinal", "description", "source_url")
+
+
+SQL["p4_found"] = r"""
+WITH a AS (
+  SELECT ordinal, description,
+         nullif(regexp_replace(lower(regexp_extract(trim(source_url), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '^(www|m)\.', ''), '') AS site
+  FROM articles),
+sites AS (SELECT site, count(*) AS docs FROM a WHERE site IS NOT NULL GROUP BY site),
+pieces AS (SELECT ordinal, site, unnest(string_split(description, chr(10))) AS piece, generate_subscripts(string_split(description, chr(10)), 1) AS pos FROM a WHERE site IS NOT NULL AND description IS NOT NULL),
+l AS (SELECT *, regexp_replace(piece, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS line FROM pieces),
+numbered AS (SELECT ordinal, site, line, row_number() OVER (PARTITION BY ordinal ORDER BY pos) AS line_no FROM l WHERE line <> ''),
+formed AS (SELECT ordinal, site, line_no, trim(regexp_replace(regexp_replace(lower(line), '[^\p{L}\p{Nd}]+', ' ', 'g'), '\p{Nd}+', '0', 'g')) AS form FROM numbered),
+n AS (SELECT site, form, count(DISTINCT ordinal) AS n FROM formed GROUP BY site, form)
+SELECT f.ordinal, CAST(f.line_no AS INTEGER) AS line_no
+FROM formed f JOIN n USING (site, form) JOIN sites USING (site)
+WHERE n.n >= 8 AND n.n >= 0.05 * docs
+"""
+
+
+@query
+def p4_clean_descriptions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every article's description without the lines of its site's frequent clusters."""
+    articles = read_table(spark, sf, "articles").select("ordinal", "description", "source_url")
+    drop = repeated.repeated_lines(articles, "ordinal", "description", "source_url", exact=False)
+    return repeated.without_lines(articles, "ordinal", "description", drop).select("ordinal", F.md5("description").alias("description_md5"), F.length("description").alias("n_chars"))
