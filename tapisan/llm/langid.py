@@ -216,8 +216,10 @@ def fit_on(df: DataFrame, id_col: str, text_cols: list[str], label: str, label_m
     return LanguageModel.fit(counted(agree), pieces)
 
 
-def identify(df: DataFrame, id_col: str, model: LanguageModel, title: str, body: str, margin: float = 3.0) -> DataFrame:
-    """(id, seg_kind, line_no, n_chars, lang, confidence, main_lang) of each record, title and line.
+def identify(df: DataFrame, id_col: str, model: LanguageModel, title: str, body: str, label: str | None = None, margin: float = 3.0) -> DataFrame:
+    """(id, seg_kind, line_no, n_chars, lang, confidence, main_lang, label) of each record, title and line.
+
+    label is the record's declared one, on its own row only (null elsewhere, and if no label column is named).
 
     A segment has the language of its highest score, but that of its record unless it is better by `margin` nats. The
     record's language is that of most characters of its lines; without lines, its title's. A record without title and
@@ -266,23 +268,22 @@ def identify(df: DataFrame, id_col: str, model: LanguageModel, title: str, body:
             else:
                 lang, conf = np.full(len(texts), -1), np.zeros(len(texts))
             ids = b["id"].to_numpy()
-            yield pd.DataFrame({"id": ids, "seg_kind": "record", "line_no": np.zeros(n, np.int32), "n_chars": np.bincount(own, chars, n).astype(np.int64) if len(own) else np.zeros(n, np.int64), "lang": main, "confidence": share, "main_lang": main})
+            yield pd.DataFrame({"id": ids, "seg_kind": "record", "line_no": np.zeros(n, np.int32), "n_chars": np.bincount(own, chars, n).astype(np.int64) if len(own) else np.zeros(n, np.int64), "lang": main, "confidence": share, "main_lang": main, "label": b["label"]})
             if len(own):
-                yield pd.DataFrame({"id": ids[own], "seg_kind": np.where(no > 0, "line", "title"), "line_no": no, "n_chars": chars, "lang": lang, "confidence": conf, "main_lang": main[own]})
+                yield pd.DataFrame({"id": ids[own], "seg_kind": np.where(no > 0, "line", "title"), "line_no": no, "n_chars": chars, "lang": lang, "confidence": conf, "main_lang": main[own], "label": None})
 
     named = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
-    out = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{title}`").alias("title"), F.col(f"`{body}`").alias("body"))
-    out = out.mapInPandas(run, f"id {df.schema[id_col].dataType.simpleString()}, seg_kind string, line_no int, n_chars bigint, lang int, confidence double, main_lang int")
+    out = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{title}`").alias("title"), F.col(f"`{body}`").alias("body"), (F.col(f"`{label}`") if label else F.lit(None)).cast("string").alias("label"))
+    out = out.mapInPandas(run, f"id {df.schema[id_col].dataType.simpleString()}, seg_kind string, line_no int, n_chars bigint, lang int, confidence double, main_lang int, label string")
     return out.withColumns({c: F.when(F.col(c) >= 0, F.get(named, F.col(c))) for c in ("lang", "main_lang")}).withColumnRenamed("id", id_col)
 
 
-def contradictions(segments: DataFrame, df: DataFrame, id_col: str, label: str, label_map: dict[str, str | None], least: int = 40) -> DataFrame:
+def contradictions(segments: DataFrame, id_col: str, label_map: dict[str, str | None], least: int = 40) -> DataFrame:
     """(id, seg_kind, line_no, lang): records whose label is missing, unknown or wrong, and titles and lines in another
-    language than the main one (lines of at least `least` characters, titles of records with lines)."""
-    segments = segments.filter("lang is not null")
-    other = segments.filter("seg_kind != 'record' and lang != main_lang").filter(F.col("n_chars") >= F.when(F.col("seg_kind") == "line", least).otherwise(0))
+    language than the main one (lines of at least `least` characters, titles of records with lines). segments: of identify
+    with a label."""
     known = F.create_map(*[F.lit(x) for kv in label_map.items() if kv[1] for x in kv]) if any(label_map.values()) else F.create_map().cast("map<string,string>")
     stands = F.coalesce(F.element_at(known, F.coalesce(F.col("label"), F.lit(""))), F.lit(""))
-    labels = df.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{label}`").alias("label"))
-    record = segments.filter("seg_kind = 'record'").join(labels, id_col).filter(stands != F.col("lang"))
-    return other.select(id_col, "seg_kind", "line_no", "lang").unionByName(record.select(id_col, "seg_kind", "line_no", "lang"))
+    long = F.col("n_chars") >= F.when(F.col("seg_kind") == "line", least).otherwise(0)
+    case = F.when(F.col("seg_kind") == "record", stands != F.col("lang")).otherwise(long & (F.col("lang") != F.col("main_lang")))
+    return segments.filter("lang is not null").filter(case).select(id_col, "seg_kind", "line_no", "lang")

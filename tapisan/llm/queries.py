@@ -39,19 +39,19 @@ def _label_map(spark: SparkSession, sf: str) -> dict[str, str | None]:
 def _segments(spark: SparkSession, sf: str):
     articles, known = read_table(spark, sf, "articles"), _label_map(spark, sf)
     model = langid.fit_on(articles, "ordinal", ["title", "description"], "lang", known)
-    return articles, known, langid.identify(articles, "ordinal", model, "title", "description")
+    return known, langid.identify(articles, "ordinal", model, "title", "description", "lang")
 
 
 @query
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    articles, known, segments = _segments(spark, sf)
-    return langid.contradictions(segments, articles, "ordinal", "lang", known)
+    known, segments = _segments(spark, sf)
+    return langid.contradictions(segments, "ordinal", known)
 
 
 @query
 def p1_languages(spark: SparkSession, sf: str) -> DataFrame:
     """Language and confidence of every article and of every title and line that switches."""
-    _, _, segments = _segments(spark, sf)
+    _, segments = _segments(spark, sf)
     return segments.filter("seg_kind = 'record' or lang != main_lang").select("ordinal", "seg_kind", "line_no", "lang", "confidence")
 
 
