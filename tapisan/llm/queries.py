@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapisan.config import read_table, small_rows
-from tapisan.llm import langid, neardup
+from tapisan.llm import history, langid, neardup
 from tapisan.llm import lines as repeated
 
 QUERIES: dict = {}
@@ -83,3 +83,19 @@ def p4_clean_descriptions(spark: SparkSession, sf: str) -> DataFrame:
     articles = read_table(spark, sf, "articles").select("ordinal", "description", "source_url")
     drop = repeated.repeated_lines(articles, "ordinal", "description", "source_url", exact=False)
     return repeated.without_lines(articles, "ordinal", "description", drop).select("ordinal", F.md5("description").alias("description_md5"), F.length("description").alias("n_chars"))
+
+
+def _replayed(spark: SparkSession, sf: str) -> DataFrame:
+    return history.replay(read_table(spark, sf, "articles"), "ordinal", "title", "source_url", "scraped_at")
+
+
+@query
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _replayed(spark, sf).filter("not accepted").select("ordinal")
+
+
+@query
+def p5_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows accepted and refused in each day's batch; rows without a time are the batch without a day."""
+    day = F.date_format(F.timestamp_micros("at"), "yyyy-MM-dd")
+    return _replayed(spark, sf).groupBy(day.alias("batch_day")).agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("duplicates"))
