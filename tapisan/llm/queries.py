@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapisan.config import read_table, small_rows
-from tapisan.llm import history, langid, neardup
+from tapisan.llm import history, langid, mainbody, neardup
 from tapisan.llm import lines as repeated
 
 QUERIES: dict = {}
@@ -99,3 +99,19 @@ def p5_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Rows accepted and refused in each day's batch; rows without a time are the batch without a day."""
     day = F.date_format(F.timestamp_micros("at"), "yyyy-MM-dd")
     return _replayed(spark, sf).groupBy(day.alias("batch_day")).agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("duplicates"))
+
+
+@query
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    articles = read_table(spark, sf, "articles")
+    model = mainbody.fit_on(articles, "ordinal", "description", "source_url")
+    return mainbody.surrounding_lines(articles, "ordinal", "description", "source_url", model)
+
+
+@query
+def p6_main_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """Every article's description with its own body only."""
+    articles = read_table(spark, sf, "articles").select("ordinal", "description", "source_url")
+    model = mainbody.fit_on(articles, "ordinal", "description", "source_url")
+    drop = mainbody.surrounding_lines(articles, "ordinal", "description", "source_url", model)
+    return repeated.without_lines(articles, "ordinal", "description", drop).select("ordinal", F.md5("description").alias("description_md5"), F.length("description").alias("n_chars"))
