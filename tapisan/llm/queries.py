@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapisan.config import read_table, small_rows
-from tapisan.llm import history, langid, mainbody, neardup
+from tapisan.llm import history, langid, mainbody, neardup, residue
 from tapisan.llm import lines as repeated
 
 QUERIES: dict = {}
@@ -115,3 +115,25 @@ def p6_main_bodies(spark: SparkSession, sf: str) -> DataFrame:
     model = mainbody.fit_on(articles, "ordinal", "description", "source_url")
     drop = mainbody.surrounding_lines(articles, "ordinal", "description", "source_url", model)
     return repeated.without_lines(articles, "ordinal", "description", drop).select("ordinal", F.md5("description").alias("description_md5"), F.length("description").alias("n_chars"))
+
+
+def _residue(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.residue(read_table(spark, sf, "documents"), "doc_id", "text")
+
+
+@query
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _residue(spark, sf).select("doc_id")
+
+
+@query
+def p9_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Residue of each source by kind, and how much of it was labelled by propagation."""
+    kinds = _residue(spark, sf).join(read_table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    return kinds.groupBy("source", "kind").agg(F.count("*").alias("n_docs"), F.count_if(~F.col("trusted")).alias("n_propagated"))
+
+
+@query
+def p9_clean_documents(spark: SparkSession, sf: str) -> DataFrame:
+    documents = read_table(spark, sf, "documents").select("doc_id", "source", "n_chars")
+    return residue.without_residue(documents, "doc_id", _residue(spark, sf))
