@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapisan.config import read_table, small_rows
-from tapisan.llm import history, langid, mainbody, neardup, residue
+from tapisan.config import read_table, small_rows, written
+from tapisan.llm import history, langid, mainbody, mixing, neardup, packing, residue, tokens
 from tapisan.llm import lines as repeated
 
 QUERIES: dict = {}
@@ -137,3 +139,45 @@ def p9_kinds(spark: SparkSession, sf: str) -> DataFrame:
 def p9_clean_documents(spark: SparkSession, sf: str) -> DataFrame:
     documents = read_table(spark, sf, "documents").select("doc_id", "source", "n_chars")
     return residue.without_residue(documents, "doc_id", _residue(spark, sf))
+
+
+def _packed(spark: SparkSession, sf: str) -> list[tuple[int, int, DataFrame, dict]]:
+    counts = written(tokens.token_counts(read_table(spark, sf, "documents"), "doc_id", "text"), "counts")
+    sizes = small_rows(read_table(spark, sf, "pack_sizes").select("pack_id", "capacity_tokens").orderBy("pack_id"), 100, "pack_sizes")
+    return [(p, c, *packing.pack(counts, "doc_id", "tokens", c)) for p, c in sizes]
+
+
+@query
+def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """Each text, or piece of a text longer than the capacity, with its container, for every capacity."""
+    return reduce(DataFrame.unionByName, [d.select(F.lit(p).alias("pack_id"), "container_id", "doc_id", "piece_no", "start_token", "tokens") for p, _, d, _ in _packed(spark, sf)])
+
+
+@query
+def p7_waste(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers, fill and waste of every capacity, with the least number of containers that any packing needs."""
+    out = []
+    for p, c, d, _ in _packed(spark, sf):
+        per = d.groupBy("container_id").agg(F.sum("tokens").alias("t"))
+        out.append(per.agg(F.lit(p).alias("pack_id"), F.lit(c).alias("capacity_tokens"), F.count("*").alias("containers"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"), F.ceil(F.sum("t") / c).alias("least_containers"), (1 - F.sum("t") / (F.count("*") * c)).alias("waste")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    documents, targets = read_table(spark, sf, "documents"), read_table(spark, sf, "source_targets")
+    counts = tokens.token_counts(documents, "doc_id", "text", ["source", "title", "url", "fetched_at"])
+    # complete records are up to twice as likely as those without title, address and time
+    known = sum((F.col(c).isNotNull().cast("int") for c in ("title", "url")), F.col("fetched_at").isNotNull().cast("int"))
+    return mixing.mix(counts, "doc_id", targets, 1 + known / 3), targets
+
+
+@query
+def p8_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents used, with their copies."""
+    return _mixed(spark, sf)[0]
+
+
+@query
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of all tokens that each listed source has and should have."""
+    return mixing.shares(*_mixed(spark, sf))
