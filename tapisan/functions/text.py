@@ -18,9 +18,6 @@ BREADCRUMB = rf"(?i){BOUND}(?:home|health topics|news|articles)\s*(?:[>/»|]\s*)
 NAVIGATION = rf"(?i){BOUND}(?:skip to (?:main )?content|back to top|click here to read more|read (?:full )?article|continue reading|table of contents){BOUND}[:\s\-.]*"
 ADVERT = rf"(?i){BOUND}(?:advertisement|sponsored content|promoted story|advertorial){BOUND}[:\s\-.]*[^.!\n]*(?:[.!\n]|\z)"
 COOKIES = rf"(?i){BOUND}(?:this website uses cookies|we use cookies to|accept (?:all )?cookies|cookie policy|manage consent|manage cookies|consent preferences)[^.!\n]*(?:[.!\n]|\z)"
-ACCESSED = rf"(?i){BOUND}diakses pada \d{{4}}{BOUND}"
-TOC_LABELS = ("daftar isi", "table of contents", "table of content", "toc")
-SIGN_OFFS = ("pungkas", "ujarnya", "tuturnya", "tutupnya", "katanya", "jelasnya")
 
 
 def utrim(c: Column) -> Column:
@@ -92,56 +89,6 @@ def dedupe_sentences(c: Column) -> Column:
     return F.when(n < 20, t).when((first == second) & (F.octet_length(first) > 10), first).when(F.size(F.split(t, r"\. ")) <= 1, t).otherwise(ended)
 
 
-def clean_paragraph(c: Column, html_udf: bool = True, drop: list[str] = (), dateline: str | None = None) -> Column:
-    """One paragraph cleaned; '' for access notes, contents labels and paragraphs that hold a phrase of `drop`."""
-    t = remove_residue(fix_punctuation(decoded(c) if html_udf else strip_html(c)), cookies=True)
-    low = F.lower(t)
-    label = F.trim(low, F.lit(" :*#\t\r\n"))
-    gone = low.rlike(ACCESSED) | label.isin(*TOC_LABELS) | label.startswith("daftar isi ") | label.startswith("table of contents ")
-    for phrase in drop:
-        gone = gone | low.contains(phrase)
-    if dateline:
-        t = F.regexp_replace(t, dateline, "")
-    return F.when(gone, "").otherwise(utrim(dedupe_sentences(collapse(t))))
-
-
-def drop_leading_contents(paras: Column, most: int = 15) -> Column:
-    """Leading bullets are dropped if one of them (over 4 bytes) comes back in a later paragraph."""
-    run = F.filter(F.slice(paras, 1, most), lambda x: x.startswith("•"))
-    first_other = F.array_position(F.transform(F.slice(paras, 1, most), lambda x: x.startswith("•")), F.lit(False))
-    n = F.when(first_other > 0, first_other - 1).otherwise(F.least(F.size(paras), F.lit(most))).cast("int")
-    bullets = F.transform(F.slice(paras, F.lit(1), n), lambda x: F.lower(utrim(F.regexp_replace(x, "^• ", ""))))
-    rest = F.slice(paras, n + 1, F.greatest(F.size(paras), F.lit(1)))
-    again = F.exists(bullets, lambda b: (F.octet_length(b) > 4) & F.exists(rest, lambda p: F.contains(F.lower(p), b)))
-    return F.when((F.size(run) > 0) & (n > 0) & again, rest).otherwise(paras)
-
-
-def drop_trailing_video(paras: Column) -> Column:
-    """Trailing repeats of a 'video ...' line are dropped, then one such line without a period after a sign-off."""
-    back = F.reverse(paras)
-    kept = F.aggregate(
-        back,
-        F.struct(F.array().cast("array<string>").alias("out"), F.lit(True).alias("tail")),
-        # the newest kept element is the one after x in the text: x replaces it while both are the same video line
-        lambda s, x: F.struct(
-            F.when(s["tail"] & (F.size(s["out"]) > 0) & (F.lower(F.get(s["out"], F.lit(0))) == F.lower(x)) & F.lower(x).startswith("video "), F.array(x)).otherwise(F.concat(F.array(x), s["out"])).alias("out"),
-            (s["tail"] & ((F.size(s["out"]) == 0) | ((F.lower(F.get(s["out"], F.lit(0))) == F.lower(x)) & F.lower(x).startswith("video ")))).alias("tail"),
-        ),
-    )["out"]
-    last, before = F.lower(F.try_element_at(kept, F.lit(-1))), F.lower(F.get(kept, F.size(kept) - 2))
-    off = F.lit(False)
-    for w in SIGN_OFFS:
-        off = off | before.contains(w)
-    return F.when((F.size(kept) >= 2) & last.startswith("video ") & ~last.contains(".") & off, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)
-
-
-def clean_paragraphs(paras: Column, least: int = 15, html_udf: bool = False, drop: list[str] = ()) -> Column:
-    """Paragraphs cleaned, those under `least` bytes dropped; if none is left, the first that isn't empty."""
-    each = F.transform(paras, lambda x: clean_paragraph(x, html_udf=html_udf, drop=drop))
-    kept = drop_trailing_video(drop_leading_contents(F.filter(each, lambda x: F.octet_length(x) >= least)))
-    return F.when(F.size(kept) > 0, kept).otherwise(F.slice(F.filter(each, lambda x: x != ""), 1, 1))
-
-
 def encode_paragraphs(paras: Column) -> Column:
     """Stored form: trimmed, blank ones dropped, joined by a blank line."""
     return F.array_join(F.filter(F.transform(paras, utrim), lambda x: x != ""), "\n\n")

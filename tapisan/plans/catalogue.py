@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapisan.config import read_table
-from tapisan.functions import text, urls
+from tapisan.functions import html, paragraphs, text, urls
 from tapisan.operators import classify, greedy, runs, store, validate
 
 QUERIES: dict = {}
@@ -121,8 +121,18 @@ def sentence_repeats(spark, sf):
 
 @query()
 def clean_paragraphs(spark, sf):
-    ps = text.clean_paragraphs(text.decode_paragraphs(F.col("description")))
-    return _articles(spark, sf).filter("description is not null").select("ordinal", F.size(ps).alias("paragraphs"), F.md5(text.encode_paragraphs(ps)).alias("stored_md5"))
+    ps = _articles(spark, sf).filter("description is not null").select("ordinal", paragraphs.clean_stored(F.col("description")).alias("ps"))
+    return ps.select("ordinal", F.size("ps").alias("paragraphs"), F.md5(text.encode_paragraphs(F.col("ps"))).alias("stored_md5"))
+
+
+@query()
+def page_fields(spark, sf):
+    """Articles written as pages and read again: title, image, category and paragraphs with the tier each came from."""
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    ps = F.array_join(F.transform(text.decode_paragraphs(F.coalesce("description", F.lit(""))), lambda p: F.concat(F.lit("<p>"), escaped(p))), "")
+    page = F.concat(F.lit("<html><head><script>x()</script><meta property='og:image' content='"), F.coalesce("image", F.lit("")), F.lit("'><meta name='keywords' content='"), F.replace(escaped(F.coalesce("category", F.lit(""))), F.lit("'"), F.lit("&#39;")), F.lit("'></head><body><nav><a href='/'>Home</a></nav><article><h1>"), escaped(F.coalesce("title", F.lit(""))), F.lit("</h1>"), ps, F.lit("</article><footer>x</footer></body></html>"))
+    out = _articles(spark, sf).select("ordinal", html.page_fields(page).alias("f"))
+    return out.select("ordinal", "f.title", "f.title_tier", "f.image", "f.image_tier", "f.category_tier", F.size("f.paragraphs").alias("blocks"))
 
 
 @query("""
