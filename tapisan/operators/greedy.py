@@ -21,8 +21,18 @@ def first_independent(rows: DataFrame, cliques: list[str], links: DataFrame | No
     once all its earlier partners are; the rounds are as many as the longest chain of such dependencies.
     """
     both = None if links is None else written(links.select("t", "u").unionByName(links.select(F.col("u").alias("t"), F.col("t").alias("u"))).distinct(), "links")
-    state = written(rows.select("o", *dict.fromkeys([*cliques, *([linked] if linked else [])]), F.lit(None).cast("boolean").alias("accepted")), "state")
-    keep = [c for c in state.columns if c != "accepted"]
+    keep = ["o", *dict.fromkeys([*cliques, *([linked] if linked else [])])]
+    marked = rows.select(*keep)
+    for c in cliques:
+        more = rows.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n")).filter("_n > 1").select(c, F.lit(True).alias(f"_{c}"))
+        marked = marked.join(more, c, "left")
+    if both is not None:
+        marked = marked.join(both.select(F.col("t").alias(linked)).distinct().withColumn("_link", F.lit(True)), linked, "left")
+    marked = written(marked, "marked")
+    # rows without a partner are accepted at once and take no part in the rounds
+    partner = F.coalesce(*[F.col(c) for c in marked.columns if c not in keep], F.lit(False))
+    alone = marked.filter(~partner).select("o", F.lit(True).alias("accepted"))
+    state = written(marked.filter(partner).select(*keep, F.lit(None).cast("boolean").alias("accepted")), "state")
     while True:
         taken, open_ = F.min(F.when(F.col("accepted"), F.col("o"))), F.min(F.when(F.col("accepted").isNull(), F.col("o")))
         now, firsts, waits = state.filter("accepted is null"), [], []
@@ -40,31 +50,45 @@ def first_independent(rows: DataFrame, cliques: list[str], links: DataFrame | No
         verdict = F.when(F.coalesce(least(firsts) < F.col("o"), F.lit(False)), False).when(F.coalesce(least(waits) >= F.col("o"), F.lit(True)), True)
         state = written(state.filter("accepted is not null").unionByName(now.select(*keep, verdict.alias("accepted"))), "state")
         if not state.filter("accepted is null").limit(1).count():
-            return state.select("o", "accepted")
+            return state.select("o", "accepted").unionByName(alone)
+
+
+def sketch(t: Column, k: int) -> Column:
+    """Word k of a 256-bit sketch in which every pair of neighbouring characters flips one bit, so an edit changes at most four."""
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.substring(t, i, F.lit(2))), F.lit(256)))
+    return F.aggregate(F.filter(pairs, lambda h: F.floor(h / 64) == k), F.lit(0).cast("bigint"), lambda x, h: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(h, F.lit(64)).cast("int"))))
 
 
 def similar_titles(titles: DataFrame, threshold: float = 0.85, q: int = 3) -> DataFrame:
     """(t, u, similarity) of distinct texts t < u with 1 - edits / longer >= threshold, none missed.
 
     Texts within d edits share all but at most q * d of their q-grams, so among the q * d + 1 rarest of each there is a
-    common one, at positions at most d apart. Rarity is counted over all texts; texts too short for that have their length
-    as key. Both empty texts are one text; an empty one is similar to none.
+    common one, at positions at most d apart, and their sketches differ in at most 4 d bits. Rarity is counted over all
+    texts; texts too short for that meet all of a length within d. An empty text is similar to none. The price of missing
+    none is that a gram's texts meet each other: this is for stores of up to about a million titles.
     """
     base = titles.select("t").filter("t is not null and t != ''").distinct().withColumn("n", F.length("t"))
     # partners may be longer by the threshold
-    base = base.withColumn("d", F.floor((F.col("n") / threshold) * (1 - threshold) + 1e-9).cast("int"))
-    grams = base.filter(F.col("n") - q + 1 > q * F.col("d")).select("t", "n", "d", F.posexplode(F.expr(f"transform(sequence(1, n - {q} + 1), i -> substring(t, i, {q}))")).alias("at", "g"))
+    base = base.withColumn("d", F.floor((F.col("n") / threshold) * (1 - threshold) + 1e-9).cast("int")).withColumns({f"s{k}": sketch(F.col("t"), k) for k in range(4)})
+    base = written(base, "titles")
+    cols = ["t", "n", "d", "s0", "s1", "s2", "s3"]
+    grams = base.filter(F.col("n") - q + 1 > q * F.col("d")).select(*cols, F.posexplode(F.expr(f"transform(sequence(1, n - {q} + 1), i -> substring(t, i, {q}))")).alias("at", "g"))
     rare = grams.groupBy("g").agg(F.count("*").alias("df"))
     order = Window.partitionBy("t").orderBy("df", "g", "at")
-    kept = grams.join(rare, "g").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= q * F.col("d") + 1).select("t", "n", "d", "at", "g")
+    kept = grams.join(rare, "g").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= q * F.col("d") + 1).select(*cols, "at", "g")
     kept = written(kept, "grams")
-    x, y = kept.alias("x"), kept.alias("y")
-    near = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.t") < F.col("y.t")) & (F.abs(F.col("x.at") - F.col("y.at")) <= F.least("x.d", "y.d")) & (F.least("x.n", "y.n") >= F.lit(threshold) * F.greatest("x.n", "y.n") - 1e-9)).select("x.t", F.col("y.t").alias("u"))
+    most = F.floor(F.greatest("x.n", "y.n") * (1 - threshold) + 1e-9)
+    bits = sum((F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(1, 4)), F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))))
+    close = (F.greatest("x.n", "y.n") - F.least("x.n", "y.n") <= most) & (bits <= 4 * most)
+    near = kept.alias("x").join(kept.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.t") < F.col("y.t")) & (F.abs(F.col("x.at") - F.col("y.at")) <= most) & close).select("x.t", F.col("y.t").alias("u"))
     short = base.filter(F.col("n") - q + 1 <= q * F.col("d"))
-    lengths = base.select("t", "n", F.explode(F.expr("sequence(n - d, n + d)")).alias("m"))
-    by_length = short.alias("x").join(lengths.alias("y"), (F.col("x.n") == F.col("y.m")) & (F.col("x.t") != F.col("y.t"))).select(F.least("x.t", "y.t").alias("t"), F.greatest("x.t", "y.t").alias("u"))
+    lengths = base.withColumn("m", F.explode(F.expr("sequence(n - d, n + d)")))
+    by_length = short.alias("x").join(lengths.alias("y"), (F.col("x.n") == F.col("y.m")) & (F.col("x.t") != F.col("y.t")) & close).select(F.least("x.t", "y.t").alias("t"), F.greatest("x.t", "y.t").alias("u"))
     pairs = written(near.unionByName(by_length).distinct(), "near")
-    return pairs.withColumn("similarity", text.similarity(F.col("t"), F.col("u"))).filter(F.col("similarity") >= threshold)
+    # beyond the edits that the longest text allows the distance needn't be finished
+    edits = F.levenshtein("t", "u", int((base.agg(F.max("n")).first()[0] or 0) * (1 - threshold) + 1e-9))
+    pairs = pairs.withColumn("e", edits).filter("e >= 0").select("t", "u", (F.lit(1.0) - F.col("e") / F.greatest(F.length("t"), F.length("u"))).alias("similarity"))
+    return written(pairs.filter(F.col("similarity") >= threshold), "similar")
 
 
 def store_unique(df: DataFrame, order: str, title: str, url: str) -> DataFrame:
