@@ -90,6 +90,8 @@ class Lattice:
         # an end's beta is complete once all edges that start there have been taken, so ends go from last to first
         by_start = np.argsort(-self.start, kind="stable")
         s = self.start[by_start]
+        if not len(s):
+            return out
         for lo, hi in zip(cuts := np.flatnonzero(np.r_[True, s[1:] != s[:-1]]), np.r_[cuts[1:], len(s)]):
             at = by_start[lo:hi]
             at = at[np.argsort(self.word[at], kind="stable")]
@@ -123,6 +125,8 @@ class LanguageModel:
         """A piece's probability is the common one times the ratio of its uses to those expected at the common rate, both plus
         `shrink`: rare pieces, such as those of names, tell languages little apart, frequent ones as they are."""
         languages = sorted(k for k, c in counts.items() if c)
+        if not languages:
+            return cls([], {}, np.zeros((1, 0)))
         found = sorted({w for k in languages for w in counts[k]})
         per = np.array([[counts[k][w] for k in languages] for w in found], float).reshape(len(found), len(languages))
         cut = [cls.cuts(w) for w in found]

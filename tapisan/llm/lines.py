@@ -1,6 +1,6 @@
 """Lines repeated across one site's documents.
 
-Numbers, dates and names of each line are masked, the masked words get two locality-sensitive keys (each of two minimum
+Numbers, dates and names of each line are masked, the masked words get two locality-sensitive keys (each of four minimum
 hashes), and a third key is the hash of the line's exact form; a cluster is a bucket of equal keys within a site. A
 cluster that comes back in many of the site's documents is boilerplate. Keys are made distinct within a document before
 anything is shuffled, so a bucket's number of documents is a plain count with map-side partial sums, and neither a large
@@ -26,7 +26,7 @@ SHARE, LEAST = 0.05, 8
 #: Most hot keys (16 bytes each) that are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 #: Seeds of the hash functions whose minima make the locality-sensitive keys, by band.
-BANDS = ((11, 12), (21, 22))
+BANDS = ((11, 12, 13, 14), (21, 22, 23, 24))
 DIGITS = re.compile(r"\d+")
 #: Names: words that begin with a capital after a word in small letters, a number, a colon or a comma.
 NAME = re.compile(r"(?<=[a-zà-öø-ÿ0-9:,] )[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]+")
