@@ -220,7 +220,7 @@ def fit_on(df: DataFrame, id_col: str, text_cols: list[str], label: str, label_m
     return LanguageModel.fit(counted(agree), pieces)
 
 
-def identify(df: DataFrame, id_col: str, model: LanguageModel, title: str, body: str, label: str | None = None, margin: float = 3.0) -> DataFrame:
+def identify(df: DataFrame, id_col: str, model: LanguageModel, title: str, body: str, label: str | None = None, margin: float = 8.0) -> DataFrame:
     """(id, seg_kind, line_no, n_chars, lang, confidence, main_lang, label) of each record, title and line.
 
     label is the record's declared one, on its own row only (null elsewhere, and if no label column is named).
