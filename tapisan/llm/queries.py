@@ -29,6 +29,15 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return _article_links(spark, sf).all_pairs().select(F.col("a").alias("ordinal_a"), F.col("b").alias("ordinal_b"))
 
 
+SQL["p2_found"] = r"""
+WITH w AS (SELECT ordinal, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(description, '')), '[\p{L}\p{Nd}]+') AS w FROM articles),
+s AS (SELECT DISTINCT ordinal, hash(w[i], w[i + 1], w[i + 2]) AS s FROM (SELECT ordinal, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM w)),
+n AS (SELECT ordinal, count(*) AS n FROM s GROUP BY ordinal),
+m AS (SELECT a.ordinal AS x, b.ordinal AS y, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.ordinal < b.ordinal GROUP BY 1, 2)
+SELECT x AS ordinal_a, y AS ordinal_b FROM m JOIN n p ON p.ordinal = x JOIN n q ON q.ordinal = y WHERE 2 * shared >= p.n + q.n - shared
+"""
+
+
 @query
 def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.groups(_article_links(spark, sf)).withColumnRenamed("id", "ordinal")
