@@ -120,3 +120,20 @@ def owners(bridge: DataFrame, runs: DataFrame) -> DataFrame:
 def numbered(df: DataFrame, by: list[Column], name: str = "place") -> DataFrame:
     """Rows with their place in an order, for a result that must show it. The order is total over a result to be shown, not over a store."""
     return df.withColumn(name, F.row_number().over(Window.orderBy(*by)))
+
+
+def created(runs: DataFrame, run_id: str, source: str | None = None, trigger: str | None = None, parent: str | None = None) -> DataFrame:
+    """The log with a new queued run of the next number; one of a parent is shown as 'parent — source'."""
+    n = F.coalesce(F.max("run_number"), F.lit(0)) + 1
+    source = (source or "").strip() or "all"
+    name = F.lit(f"{parent} — {source}") if parent else F.format_string("Run #%03d", "run_number")
+    new = runs.agg(n.alias("run_number")).select(F.lit(run_id).alias("id"), "run_number", name.alias("display_name"), F.lit(source).alias("source"), F.lit((trigger or "").strip() or "manual").alias("trigger_kind"), F.lit("QUEUED").alias("status"), F.lit(parent).cast("string").alias("cron_run_id"))
+    return runs.unionByName(sync_fields(runs.limit(0).unionByName(new, allowMissingColumns=True)), allowMissingColumns=True)
+
+
+def finished(runs: DataFrame, run_id: str, status: str, at: Column) -> DataFrame:
+    """The log with a run ended: its duration is never negative, aliases are filled."""
+    mine = F.col("id") == run_id
+    seconds = F.greatest(F.lit(0.0), (F.unix_micros(at.cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1e6)
+    out = runs.withColumns({"status": F.when(mine, F.lit(status)).otherwise(F.col("status")), "finished_at": F.when(mine, at.cast(runs.schema["finished_at"].dataType)).otherwise(F.col("finished_at")), "duration_sec": F.when(mine, seconds).otherwise(F.col("duration_sec")), "duration": F.when(mine, seconds).otherwise(F.col("duration"))})
+    return sync_fields(out)

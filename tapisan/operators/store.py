@@ -115,3 +115,21 @@ def registry(stored: DataFrame, defaults: DataFrame) -> DataFrame:
     s = stored.filter(~blank(F.col("url"))).withColumn("_k", key)
     d = defaults.withColumn("_k", key).join(s.select("_k"), "_k", "left_anti")
     return s.select("url", "_k").unionByName(d.select("url", "_k")).groupBy("_k").agg(F.min("url").alias("url")).select("url")
+
+
+def source_added(sources: DataFrame, url: str) -> DataFrame:
+    """With one more source; an unusable address or one already there is refused."""
+    from tapisan.functions.urls import source_error
+
+    new = sources.sparkSession.createDataFrame([(url.strip(),)], "url string")
+    if error := new.select(source_error(F.col("url"))).first()[0]:
+        raise ValueError(f"unusable address: {error}")
+    key = lambda c: F.regexp_replace(fold(c), "/+$", "")
+    if sources.filter(key(F.col("url")) == url.strip().lower().rstrip("/")).limit(1).count():
+        raise ValueError("the source is there already")
+    return sources.select("url").unionByName(new)
+
+
+def source_deleted(sources: DataFrame, url: str) -> DataFrame:
+    key = F.regexp_replace(fold(F.col("url")), "/+$", "")
+    return sources.filter(F.coalesce(key != url.strip().lower().rstrip("/"), F.lit(True)))

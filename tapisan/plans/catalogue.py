@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tapisan.config import read_table
 from tapisan.functions import html, paragraphs, text, urls
-from tapisan.operators import classify, greedy, runs, store, validate
+from tapisan.operators import classify, discovery, greedy, runs, store, validate
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -504,3 +504,29 @@ def registry_topped_up(spark, sf):
 def bridge_recorded(spark, sf):
     new = _articles(spark, sf).filter("run_id is not null and id is not null").select("run_id", F.col("id").alias("article_id"), F.lit(0).alias("pos"))
     return store.recorded(read_table(spark, sf, "run_articles"), new)
+
+
+# ---- discovery
+
+_RULES = discovery.SiteRules("info-glerbok.example", r"^/(?:a|artikel|read|topik|info|kesehatan)/.+", ("/topik/mitos",), ("ref=",))
+_PATH = r"regexp_extract(source_url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+
+
+@query(rf"SELECT ordinal, coalesce({_HOST.format('source_url')} = 'info-glerbok.example' AND regexp_matches(lower({_PATH}), '^/(a|artikel|read|topik|info|kesehatan)/.+') AND NOT starts_with(lower({_PATH}), '/topik/mitos') AND NOT contains(lower(source_url), 'ref='), false) AS is_article FROM articles")
+def article_addresses(spark, sf):
+    return _articles(spark, sf).select("ordinal", discovery.is_article(F.col("source_url"), _RULES).alias("is_article"))
+
+
+@query(r"SELECT min(first_page) AS first_page, url FROM (SELECT ordinal // 10 AS first_page, regexp_replace(source_url, '\?[^#]*', '') AS url FROM articles WHERE regexp_matches(source_url, '^https?://info-glerbok\.example/(a|artikel|read|topik|info|kesehatan)/.+') AND NOT regexp_matches(source_url, '/topik/mitos')) GROUP BY url")
+def discovered_links(spark, sf):
+    """Listing pages of ten addresses each, searched for the articles of one site."""
+    plain = _articles(spark, sf).filter("source_url rlike '^https?://'").select((F.floor(F.col("ordinal") / 10)).alias("page"), "ordinal", F.concat(F.lit('<li><a class="x" href="'), "source_url", F.lit('">x</a></li>')).alias("li"))
+    pages = plain.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "li"))), lambda x: x["li"]), "").alias("html")).withColumn("base", F.lit("https://info-glerbok.example/list"))
+    rules = discovery.SiteRules(_RULES.host, _RULES.path, _RULES.refused_prefixes)
+    return discovery.discovered(pages, "html", "base", "page", rules).select("url", "first_page")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(title), 'manfaat') OR contains(lower(title), 'benefits') OR contains(lower(url), 'manfaat') OR contains(lower(url), 'benefits')")
+def topic_documents(spark, sf):
+    d = read_table(spark, sf, "documents")
+    return d.filter(discovery.topic_match("manfaat", F.col("title"), F.col("url")) | discovery.topic_match("Benefits", F.col("title"), F.col("url"))).select("doc_id")
