@@ -20,7 +20,7 @@ G = PackedGrammar(KNOWN)
         ("women's days / x", ["women's days", "x"]),
         ("a - b - Kulit-Rambut", ["a", "b", "Kulit-Rambut"]),
         ("a-b", ["a-b"]),
-        ("Ginjal\; Kemih; x", ["Ginjal; Kemih", "x"]),
+        (r"Ginjal\; Kemih; x", ["Ginjal; Kemih", "x"]),
         ("a\n\nb\tc\t", ["a", "b", "c"]),
         (",, a ;;", ["a"]),
         ("a, a", ["a", "a"]),
