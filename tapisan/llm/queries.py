@@ -21,7 +21,7 @@ def query(f):
 
 
 def _article_links(spark: SparkSession, sf: str) -> neardup.Links:
-    return neardup.near_duplicates(read_table(spark, sf, "articles"), "ordinal", ["title", "description"], size=3, threshold=0.5, bands=64, rows=4)
+    return neardup.near_duplicates(read_table(spark, sf, "articles"), "ordinal", ["title", "description"], size=3, threshold=0.5, bands=96, rows=4)
 
 
 @query
