@@ -253,5 +253,6 @@ def page_fields(html: Column, marks: list[str] = (), phrases: list[str] = (), ru
 
 
 def links(html: Column) -> Column:
-    """Targets of anchors and data-url attributes in order, first of each: array<string>, in the JVM."""
-    return F.array_distinct(F.filter(F.regexp_extract_all(html, F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"'#][^"']*)["']|\bdata-url\s*=\s*["']([^"']+)["']"""), F.lit(1)), lambda x: x != ""))
+    """Targets of anchors in order, then those of data-url attributes, first of each: array<string>, in the JVM."""
+    found = lambda p: F.regexp_extract_all(html, F.lit(p), F.lit(1))
+    return F.array_distinct(F.concat(found(r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"'#][^"']*)["']"""), found(r"""(?i)data-url\s*=\s*["']([^"']+)["']""")))

@@ -13,6 +13,12 @@ def test_links(spark):
     assert sorted((r.url, r.place) for r in got) == [("https://x.test/a/dua", 3), ("https://x.test/a/satu", 0)]
 
 
+def test_links_of_data_url(spark):
+    page = '<div data-url="https://x.test/a/tiga"></div><a data-url="/a/empat" href="/a/satu">1</a><a href="/a/tiga">3</a><p DATA-URL=\'/a/lima\'>'
+    got = discovery.discovered(spark.createDataFrame([(1, "https://x.test/a/", page)], "o int, u string, h string"), "h", "u", "o", discovery.SiteRules("x.test", r"^/a/.+")).collect()
+    assert sorted((r.place, r.url[-5:]) for r in got) == [(0, "/satu"), (1, "/tiga"), (3, "empat"), (4, "/lima")]
+
+
 def test_candidates_and_dispatch(spark):
     t = lambda *us: spark.createDataFrame([(u, i) for i, u in enumerate(us)], "url string, place int")
     got = discovery.candidates([t("b", "a"), t("A", "c")], 2).collect()
