@@ -1,7 +1,9 @@
 """Lines repeated across one site's documents.
 
 Numbers, dates and names of each line are masked, the masked words get two locality-sensitive keys (each of four minimum
-hashes), and a third key is the hash of the line's exact form; a cluster is a bucket of equal keys within a site. A
+hashes), and the
+case-folded words with numbers and months masked, which lines of one form always share, get a third; a cluster is a bucket of
+equal keys within a site. A
 cluster that comes back in many of the site's documents is boilerplate. Keys are made distinct within a document before
 anything is shuffled, so a bucket's number of documents is a plain count with map-side partial sums, and neither a large
 site nor a hot line is gathered anywhere.
@@ -27,6 +29,7 @@ SHARE, LEAST = 0.05, 8
 BROADCAST_KEYS = 500_000
 #: Seeds of the hash functions whose minima make the locality-sensitive keys, by band.
 BANDS = ((11, 12, 13, 14), (21, 22, 23, 24))
+FOLDED = (31, 32, 33, 34)
 DIGITS = re.compile(r"\d+")
 #: Names: words that begin with a capital after a word in small letters, a number, a colon or a comma.
 NAME = re.compile(r"(?<=[a-zà-öø-ÿ0-9:,] )[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]+")
@@ -44,8 +47,22 @@ def masked(line: str) -> list[str]:
     return MONTHS.sub("d", form(NAME.sub("n", line))).split()
 
 
-def document_keys(df: DataFrame, id_col: str, body: str, url: str) -> DataFrame:
-    """(id, site, f, m0, m1): each document of a site with three keys of each line; 0 where a line has no words."""
+def band_keys(hashes: WordHashes, ws: list[list[str]], seeds: tuple[int, ...], start: int) -> np.ndarray:
+    """A key of the minimum hashes of each list of words; 0 of an empty list."""
+    out, n = np.zeros(len(ws), np.uint64), np.array([len(w) for w in ws], np.int64)
+    if n.sum():
+        h = hashes([w for x in ws for w in x])
+        has = np.flatnonzero(n)
+        first = np.r_[0, np.cumsum(n[has])[:-1]]
+        key = np.full(len(has), start, np.uint64)
+        for s in seeds:
+            key = mixed(key ^ np.minimum.reduceat(mixed(h ^ mixed(np.array([s], np.uint64))), first))
+        out[has] = key
+    return out
+
+
+def document_keys(df: DataFrame, id_col: str, body: str, url: str, wordless: bool = False) -> DataFrame:
+    """(id, site, f, c, m0, m1): each document of a site with the form's hash and three keys of each line; 0 where a line has no words, but c is 1 there if `wordless`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, cache = WordHashes(), {}
@@ -58,52 +75,44 @@ def document_keys(df: DataFrame, id_col: str, body: str, url: str) -> DataFrame:
             forms = [form(x) for x in new]
             f = np.array([xxhash.xxh3_64_intdigest(x) if x else 0 for x in forms], np.uint64)
             mw = [masked(x) for x in new]
-            n = np.array([len(w) for w in mw], np.int64)
-            keys = np.zeros((len(new), 1 + len(BANDS)), np.uint64)
-            keys[:, 0] = f
-            if n.sum():
-                h = hashes([w for ws in mw for w in ws])
-                has = np.flatnonzero(n)
-                first = np.r_[0, np.cumsum(n[has])[:-1]]
-                for k, seeds in enumerate(BANDS):
-                    key = np.full(len(has), k + 1, np.uint64)
-                    for s in seeds:
-                        key = mixed(key ^ np.minimum.reduceat(mixed(h ^ mixed(np.array([s], np.uint64))), first))
-                    keys[has, k + 1] = key
+            c = band_keys(hashes, [MONTHS.sub("d", x).split() for x in forms], FOLDED, len(BANDS) + 1)
+            if wordless:
+                c[f == 0] = 1
+            keys = np.stack([f, c, *(band_keys(hashes, mw, seeds, k + 1) for k, seeds in enumerate(BANDS))], axis=1)
             for x, row in zip(new, keys.view(np.int64)):
                 cache[x] = row
-            empty = np.zeros((0, 1 + len(BANDS)), np.int64)
+            empty = np.zeros((0, 2 + len(BANDS)), np.int64)
             table = [np.array([cache[x] for x in ls]) if ls else empty for ls in split]
-            yield pd.DataFrame({"id": b["id"], "site": b["site"], "f": [t[:, 0] for t in table], "m0": [t[:, 1] for t in table], "m1": [t[:, 2] for t in table]})
+            yield pd.DataFrame({"id": b["id"], "site": b["site"], "f": [t[:, 0] for t in table], "c": [t[:, 1] for t in table], "m0": [t[:, 2] for t in table], "m1": [t[:, 3] for t in table]})
 
     base = df.select(F.col(f"`{id_col}`").alias("id"), site_col(F.col(f"`{url}`")).alias("site"), F.col(f"`{body}`").alias("body")).filter("site is not null and body is not null")
-    return base.mapInPandas(run, f"id {df.schema[id_col].dataType.simpleString()}, site string, f array<bigint>, m0 array<bigint>, m1 array<bigint>")
+    return base.mapInPandas(run, f"id {df.schema[id_col].dataType.simpleString()}, site string, f array<bigint>, c array<bigint>, m0 array<bigint>, m1 array<bigint>")
 
 
 def hot_clusters(docs: DataFrame, sites: DataFrame, share: float, least: int) -> DataFrame:
     """(site, key) of clusters in at least `least` documents of their site and at least that share of them."""
-    own = docs.select("site", F.explode(F.array_distinct(F.concat("f", "m0", "m1"))).alias("key")).filter("key != 0")
+    own = docs.select("site", F.explode(F.array_distinct(F.concat("c", "m0", "m1"))).alias("key")).filter("key != 0")
     n = own.groupBy("site", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     return n.join(sites, "site").filter(F.col("n") >= share * F.col("docs")).select("site", "key")
 
 
-def repeated_lines(df: DataFrame, id_col: str, body: str, url: str, share: float = SHARE, least: int = LEAST, exact: bool = True) -> DataFrame:
+def repeated_lines(df: DataFrame, id_col: str, body: str, url: str, share: float = SHARE, least: int = LEAST, exact: bool = True, wordless: bool = False) -> DataFrame:
     """(id, line_no) of the lines to remove: those of hot clusters and, if `exact`, only those whose form is itself as frequent.
 
     The share is of all document rows of the site, those without lines included. Documents without a site, null texts and
     blank lines have no rows; a line repeated within a document counts once for it and is reported at each place; an empty
-    table gives an empty result. Equal forms share a key, so no frequent form is lost by the clusters. Forms are compared by
-    64-bit hashes.
+    table gives an empty result. Equal forms share the key of their case-folded words, so no frequent form is lost by the
+    clusters. Forms are compared by 64-bit hashes; lines without words have no rows unless `wordless`, which makes them one form.
     """
     sites = df.select(site_col(F.col(f"`{url}`")).alias("site")).filter("site is not null").groupBy("site").agg(F.count("*").alias("docs"))
-    docs = written(document_keys(df, id_col, body, url), "keys")
+    docs = written(document_keys(df, id_col, body, url, wordless), "keys")
     hot = hot_clusters(docs, sites, share, least)
     # a line is of a hot cluster if one of its keys is; hot keys of a site are few: at most bands * lines per document / share
     hot = written(hot, "hot")
     by_site = hot.groupBy("site").agg(F.collect_set("key").alias("hot"))
     if hot.count() <= BROADCAST_KEYS:
         by_site = F.broadcast(by_site)
-    at = F.transform(F.arrays_zip("f", "m0", "m1"), lambda x: F.when((x["f"] != 0) & F.arrays_overlap(F.array(x["f"], x["m0"], x["m1"]), F.col("hot")), x["f"]))
+    at = F.transform(F.arrays_zip("f", "c", "m0", "m1"), lambda x: F.when((x["c"] != 0) & F.arrays_overlap(F.array(x["c"], x["m0"], x["m1"]), F.col("hot")), x["f"]))
     found = docs.join(by_site, "site").select("id", "site", F.posexplode(at).alias("pos", "form")).filter("form is not null")
     found = found.select("id", "site", (F.col("pos") + 1).cast("int").alias("line_no"), "form")
     if exact:

@@ -68,7 +68,7 @@ def p1_languages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return repeated.repeated_lines(read_table(spark, sf, "articles"), "ordinal", "description", "source_url")
+    return repeated.repeated_lines(read_table(spark, sf, "articles"), "ordinal", "description", "source_url", wordless=True)
 
 
 SQL["p4_found"] = r"""

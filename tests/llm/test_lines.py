@@ -49,6 +49,18 @@ def test_names_numbers_and_dates_are_one_cluster(spark):
     assert clean[3].startswith("Isi dd ddd") and len(clean) == 10
 
 
+def test_clusters_alone_find_every_form_and_lines_without_words(spark):
+    rows = [(i, f"{'Ikuti Budi' if i % 2 else 'IKUTI BUDI'} 3 Mei\n***\nunik{chr(97 + i)}", "https://a.test/") for i in range(10)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    docs = repeated.document_keys(df, "k", "body", "url").drop("f")
+    sites = spark.createDataFrame([("a.test", 10)], "site string, docs bigint")
+    assert repeated.hot_clusters(docs, sites, 0.05, 8).count() >= 1
+    assert len({r.c[0] for r in docs.collect()}) == 1
+    for wordless, want in ((False, [1]), (True, [1, 2])):
+        got = repeated.repeated_lines(df, "k", "body", "url", wordless=wordless)
+        assert sorted(map(tuple, got.collect())) == [(i, n) for i in range(10) for n in want]
+
+
 def test_clean_keeps_what_it_should(spark):
     df = spark.createDataFrame([(1, "a\r\n\nb\n\nc\n", None), (2, None, None), (3, "", None), (4, "x\ny", None)], SCHEMA)
     drop = spark.createDataFrame([(1, 2), (2, 1)], "k bigint, line_no int")
