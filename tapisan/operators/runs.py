@@ -77,9 +77,11 @@ def remaining(tasks: DataFrame, first: int, last: int) -> DataFrame:
 
 
 def resumed(tasks: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Checkpoint merged with a task list (id, query_text): running and cancelled tasks are pending again, new ones are added."""
+    """Checkpoint merged with a task list (id, query_text): running and cancelled tasks are pending again, new ones are added. A task is cancelled if it failed for good and its `error`, an optional column, tells of a cancelled context."""
     joined = tasks.withColumnRenamed("query_text", "_q").join(wanted.select("id", "query_text"), "id", "full_outer")
     again = (F.col("status") == "RUNNING") | F.col("status").isNull()
+    if "error" in tasks.columns:
+        again = again | ((F.col("status") == "FAILED_PERMANENT") & F.coalesce(F.lower("error").contains("context cancel"), F.lit(False)))
     return joined.select("id", F.coalesce("_q", "query_text").alias("query_text"), F.when(again, "PENDING").otherwise(F.col("status")).alias("status"), F.coalesce("attempts", F.lit(0)).alias("attempts"), F.coalesce("stores_found", F.lit(0)).alias("stores_found"))
 
 

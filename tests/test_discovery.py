@@ -54,6 +54,13 @@ def test_runs_come_and_end(spark, data):
     assert end.status == "COMPLETED" and end.duration_sec == 0
 
 
+def test_cancelled_tasks_are_resumed(spark):
+    rows = [(1, "a", "FAILED_PERMANENT", 1, 0, "fetch: Context canceled"), (2, "b", "FAILED_PERMANENT", 1, 0, "404"), (3, "c", "FAILED_PERMANENT", 1, 0, None), (4, "d", "RUNNING", 1, 0, None), (5, "e", "SUCCESS", 1, 2, "context canceled")]
+    tasks = spark.createDataFrame(rows, "id bigint, query_text string, status string, attempts int, stores_found int, error string")
+    got = {r.id: r.status for r in runs.resumed(tasks, tasks.select("id", "query_text").limit(2)).collect()}
+    assert got == {1: "PENDING", 2: "FAILED_PERMANENT", 3: "FAILED_PERMANENT", 4: "PENDING", 5: "SUCCESS"}
+
+
 def test_sources(spark):
     s = spark.createDataFrame([("https://x.test/",)], "url string")
     assert store.source_added(s, " https://y.test ").count() == 2 and store.source_deleted(s, "HTTPS://X.test").count() == 0
