@@ -1,7 +1,7 @@
 """Structure of pages: a small tree over the standard library's parser, with implied ends of paragraphs and items.
 
 Rules (what to prune, which headings open promotional or reference sections) are parameters. Everything here runs in Arrow
-UDFs, as built-in expressions know no trees; links, fields in attributes and embedded JSON stay in the JVM.
+UDFs, as built-in expressions know no trees; only links stay in the JVM. State scripts with embedded JSON aren't read.
 """
 
 from __future__ import annotations
