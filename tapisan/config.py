@@ -10,6 +10,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of this process that are removed at its end.
+_OWN: set[str] = set()
+
 
 def local_session(cpus: str | int = "*", memory: str = "8g") -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
@@ -27,9 +30,11 @@ def local_session(cpus: str | int = "*", memory: str = "8g") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors reach; where it is unset (tests), a local one is set."""
+    """The folder of spark.checkpoint.dir, which all executors reach; where it is unset, only a local master gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all executors reach")
         folder = tempfile.mkdtemp(prefix="tapisan-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -37,10 +42,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as a table of the shared folder and read back: lineage ends here and later readers don't recompute it."""
-    path = os.path.join(shared_folder(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    """df, written once as a table of the shared folder and read back: lineage ends here and later readers don't recompute it.
+
+    A session's tables lie in one folder, which goes at its end: until then a result that is not yet read may need them.
+    """
+    spark = df.sparkSession
+    own = os.path.join(shared_folder(spark), f"tapisan-{spark.sparkContext.applicationId}")
+    if own not in _OWN:
+        _OWN.add(own)
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    path = os.path.join(own, f"{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
