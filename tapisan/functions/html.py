@@ -6,6 +6,7 @@ UDFs, as built-in expressions know no trees; only links stay in the JVM. State s
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 from dataclasses import dataclass, field
@@ -107,37 +108,48 @@ def prune(root: Node, marks: tuple[str, ...] = (), tags: frozenset = SKIP, phras
             n.drop()
 
 
+# How tables of contents are named, headed and linked.
 CONTENTS = ("daftar isi", "table of contents", "table of content", "toc")
+CONTENTS_IDS = ("table-of-contents", "table-of-content", "toc", "daftar-isi")
+CONTENTS_CLASSES = ("table-of-content", "toc-wrapper", "article-toc", "daftar-isi")
+CONTENTS_TARGET = re.compile(r"[^#]*#(?:h-|heading-)")
+LISTS, HEADINGS = frozenset(("ul", "ol")), frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "p", "strong", "div", "span"))
+#: Share of a list's links (two at least) that lead to headings of the page, from which it is a table of contents.
+CONTENTS_SHARE = 0.6
 
 
-def internal_link(n: Node) -> bool:
+def label(n: Node) -> str:
+    return squeezed(n.text()).strip(" :*#").lower()
+
+
+def contents_score(n: Node) -> float:
+    """How surely a node is a table of contents by its name or by where its links lead: 1 is sure."""
+    if n.tag == "nav" or n.attrs.get("id", "").lower() in CONTENTS_IDS or any(c in n.attrs.get("class", "").lower() for c in CONTENTS_CLASSES):
+        return 1.0
+    targets = [a.attrs.get("href", "") for a in n.walk() if a.tag == "a"] if n.tag in LISTS else []
+    return sum(map(bool, map(CONTENTS_TARGET.match, targets))) / len(targets) / CONTENTS_SHARE if len(targets) > 1 else 0.0
+
+
+def leads_inside(n: Node) -> bool:
+    """All the node says are links to places of the page."""
     own = [a for a in n.walk() if a.tag == "a"]
     return bool(own) and all(a.attrs.get("href", "").startswith("#") for a in own) and squeezed("".join(a.text() for a in own)) == squeezed(n.text())
 
 
+def headed(title: Node) -> list[Node]:
+    """What stands under a heading of contents: lists, navigation and inner links up to other text, or to a rule, which belongs to it."""
+    after = [s for s in title.siblings_after() if not isinstance(s, str) or s.strip()]
+    own = list(itertools.takewhile(lambda s: isinstance(s, Node) and (s.tag in LISTS | {"nav", "hr"} or leads_inside(s)), after))
+    rule = next((i for i, s in enumerate(own) if s.tag == "hr"), len(own))
+    return own[: rule + 1]
+
+
 def remove_contents(root: Node) -> None:
-    """Navigation, containers named as tables of contents, their headings with the lists after them, and lists of which most links lead into the page."""
-    for n in list(root.walk()):
-        name, css = n.attrs.get("id", "").lower(), n.attrs.get("class", "").lower()
-        if n.tag == "nav" or name in ("table-of-contents", "table-of-content", "toc", "daftar-isi") or any(m in css for m in ("table-of-content", "toc-wrapper", "article-toc", "daftar-isi")):
-            n.drop()
-        elif n.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "strong", "div", "span") and squeezed(n.text()).strip(" :*#").lower() in CONTENTS:
-            for s in n.siblings_after():
-                if isinstance(s, str):
-                    if s.strip():
-                        break
-                elif s.tag in ("ul", "ol", "nav", "hr") or internal_link(s):
-                    s.drop()
-                    if s.tag == "hr":
-                        break
-                else:
-                    break
-            n.drop()
-        elif n.tag in ("ul", "ol"):
-            links = [a.attrs.get("href", "") for a in n.walk() if a.tag == "a"]
-            inside = sum(bool(re.match(r"[^#]*#(?:h-|heading-)", h)) for h in links)
-            if len(links) >= 2 and inside >= 0.6 * len(links):
-                n.drop()
+    """Tables of contents by their score, and headings of contents with what stands under them."""
+    nodes = list(root.walk())
+    titles = [n for n in nodes if n.tag in HEADINGS and label(n) in CONTENTS]
+    for n in [n for n in nodes if contents_score(n) >= 1 - 1e-9] + [m for t in titles for m in (*headed(t), t)]:
+        n.drop()
 
 
 @dataclass(frozen=True)
@@ -148,6 +160,26 @@ class Sections:
     keep: tuple[str, ...] = ("kapan harus ke dokter", "kapan perlu ke dokter", "tanda bahaya")
     reference: tuple[str, ...] = ("referensi", "daftar pustaka", "references")
     lines: tuple[str, ...] = ("ditinjau oleh", "artikel terkait", "baca juga:")
+    #: Bytes below which a paragraph may open a section as a heading does.
+    short: int = 75
+
+
+#: Which open sections an event leaves open: an event is what a block is, a section what is left out.
+CLOSED_BY = {"section": frozenset(("promo", "reference")), "step": frozenset(("promo",)), "plain": frozenset()}
+
+
+def event(tag: str, text: str, rules: Sections) -> str:
+    """promo or reference if the block opens such a section; section if it ends any, step if it ends a promotional one; else plain."""
+    key = text.lower().strip(" :.!?*#")
+    kept = any(k in key for k in rules.keep)
+    if tag[0] == "h" or len(text.encode()) < rules.short:
+        if not kept and any(k in key for k in rules.promo):
+            return "promo"
+        if key.split(":")[0] in rules.reference:
+            return "reference"
+    if kept or tag[0] == "h":
+        return "section"
+    return "step" if text.endswith("?") or re.match(r"\d+\.\s+", text) else "plain"
 
 
 def paragraphs(root: Node, rules: Sections = Sections()) -> list[str]:
@@ -156,37 +188,15 @@ def paragraphs(root: Node, rules: Sections = Sections()) -> list[str]:
     A promotional section ends at a kept or other heading, a numbered line or a question; a reference section at a kept or
     other heading.
     """
-    out: list[str] = []
-    promo = refs = False
-    for n in root.walk():
-        if not re.fullmatch(r"h[1-6]|p|li", n.tag) or (n.tag == "li" and any(c.tag in ("p", "ul", "ol") for c in n.children if isinstance(c, Node))):
-            continue
-        t = squeezed(n.text())
-        if not t:
-            continue
-        key = t.lower().strip(" :.!?*#")
-        heading, short = n.tag[0] == "h", len(t.encode()) < 75
-        keep = any(k in key for k in rules.keep)
-        is_promo = not keep and any(k in key for k in rules.promo)
-        is_ref = key in rules.reference or any(key.startswith(f"{k}:") for k in rules.reference)
-        if (heading or short) and is_promo:
-            promo = True
-            continue
-        if (heading or short) and is_ref:
-            refs = True
-            continue
-        if promo:
-            if not (keep or heading or re.match(r"\d+\.\s+", t) or t.endswith("?")):
-                continue
-            promo = False
-        if refs:
-            if not (keep or heading):
-                continue
-            refs = False
-        if any(x in t.lower() for x in rules.lines) or key in CONTENTS:
-            continue
-        out.append(f"• {t}" if n.tag == "li" else t)
-    return out
+    nested = lambda n: n.tag == "li" and any(isinstance(c, Node) and c.tag in ("p", "ul", "ol") for c in n.children)
+    blocks = [(n.tag, t) for n in root.walk() if re.fullmatch(r"h[1-6]|p|li", n.tag) and not nested(n) and (t := squeezed(n.text()))]
+    events = [event(tag, t, rules) for tag, t in blocks]
+    # the sections left open behind each block
+    open_ = itertools.accumulate(events, lambda s, e: s | {e} if e not in CLOSED_BY else s - CLOSED_BY[e], initial=frozenset())
+    next(open_)
+    own = [(tag, t) for (tag, t), e, s in zip(blocks, events, open_) if not s]
+    wanted = lambda t: not any(x in t.lower() for x in rules.lines) and t.lower().strip(" :.!?*#") not in CONTENTS
+    return [f"• {t}" if tag == "li" else t for tag, t in own if wanted(t)]
 
 
 def first(root: Node, tag: str, key: str | None = None, value: str | None = None, get: str | None = None) -> str:

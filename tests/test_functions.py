@@ -39,9 +39,10 @@ def test_urls(spark):
 
 def test_paragraphs(spark):
     ps = ["• Gejala flu", "• Obat", "Gejala flu adalah demam tinggi.", "Daftar isi:", "pendek", "Ini penting, tuturnya.", "Video cara minum obat", "Video cara minum obat"]
-    assert paragraphs.cleaned_all(ps) == ["Gejala flu adalah demam tinggi.", "Ini penting, tuturnya."]
-    assert paragraphs.cleaned_all(["pendek"]) == ["pendek"]
-    assert paragraphs.cleaned_all(["empat belas hé"]) == ["empat belas hé"]
+    clean = lambda ps: one(spark, "\n\n".join(ps), lambda c: paragraphs.clean_stored(c))
+    assert clean(ps) == ["Gejala flu adalah demam tinggi.", "Ini penting, tuturnya."]
+    assert clean(["pendek"]) == ["pendek"]
+    assert clean(["empat belas hé"]) == ["empat belas hé"]
     assert one(spark, "Satu dua tiga empat lima.<br>Enam tujuh delapan sembilan.", lambda c: paragraphs.clean_stored(c)) == ["Satu dua tiga empat lima.", "Enam tujuh delapan sembilan."]
     assert one(spark, None, lambda c: paragraphs.clean_stored(c)) is None
     assert paragraphs.without_repeats("Teks yang sama. Teks yang sama.") == "Teks yang sama."
@@ -91,3 +92,32 @@ def test_runs_and_store(spark):
     arts = spark.createDataFrame([(1, "", "b"), (2, None, "a"), (3, "2025", "z"), (4, "2026", "z")], "ordinal bigint, scraped_at string, title string")
     assert [r.ordinal for r in arts.orderBy(*store.order_by_time()).collect()] == [4, 3, 2, 1]
     assert [r.ordinal for r in arts.orderBy(*store.order_by_time(False)).collect()] == [3, 4, 2, 1]
+
+
+def test_contents_and_video_lines(spark):
+    import json
+
+    run = lambda f, ps: spark.createDataFrame([(ps,)], "c array<string>").select(f(F.col("c"))).first()[0]
+    lead, tail = paragraphs.without_leading_contents, paragraphs.without_trailing_video
+    assert run(lead, ["• Gejala flu", "• Obat", "Gejala flu adalah demam.", "• Minum air"]) == ["Gejala flu adalah demam.", "• Minum air"]
+    assert run(lead, ["• Gejala", "Demam."]) == ["• Gejala", "Demam."] and run(lead, ["• ab", "ab ab"]) == ["• ab", "ab ab"]
+    assert run(lead, [f"• butir {k}x" for k in range(16)] + ["butir 3x"]) == ["• butir 15x", "butir 3x"] and run(lead, []) == []
+    assert run(tail, ["a", "Video X", "video x", "VIDEO X"]) == ["a", "Video X"] and run(tail, ["video x"] * 3) == ["video x"]
+    assert run(tail, ["Selesai, pungkasnya.", "Video X", "video x"]) == ["Selesai, pungkasnya."]
+    assert run(tail, ["Selesai, pungkasnya.", "Video X."]) == ["Selesai, pungkasnya.", "Video X."] and run(tail, []) == []
+    assert run(tail, ["a", "b", "b"]) == ["a", "b", "b"]
+    for s, want in {"a. A. b. b.": "a. A. b. b.", "Satu kalimat panjang. satu kalimat panjang. Dua.": "Satu kalimat panjang. Dua.", "Teks  yang sama.   Teks  yang sama.": "Teks  yang sama.", "Ulang ulang. Ulang ulang.": "Ulang ulang."}.items():
+        assert paragraphs.without_repeats(s) == want, json.dumps(s)
+
+
+def test_sections_and_contents_of_pages():
+    read = lambda x, **k: html.fields(f"<article>{x}</article>", rules=html.Sections(**k))["paragraphs"]
+    promo = {"promo": ("beli di toko",)}
+    assert read("<p>Satu.</p><h2>Beli di toko kami</h2><p>Murah.</p><p>1. Langkah satu</p><p>Lanjut.</p>", **promo) == ["Satu.", "1. Langkah satu", "Lanjut."]
+    assert read("<h3>Referensi</h3><p>Buku A</p><p>1. Buku B</p><h3>Tanda bahaya</h3><p>Sesak.</p>") == ["Tanda bahaya", "Sesak."]
+    assert read("<h3>Referensi</h3><h2>Beli di toko</h2><p>Apa ini?</p><p>Buku.</p><h2>Lain</h2>", **promo) == ["Lain"]
+    assert read("<p>" + "beli di toko " * 9 + "</p><p>Biasa.</p>", **promo)[-1] == "Biasa."
+    assert read("<h2>Daftar Isi:</h2> <ul><li><a href='#h-1'>A</a></li></ul><p><a href='#b'>B</a></p><hr><ul><li>Tetap</li></ul>") == ["• Tetap"]
+    assert read("<ul><li><a href='#h-1'>A</a></li><li><a href='/x#heading-2'>B</a></li><li><a href='/y'>C</a></li></ul><p>Isi.</p>") == ["Isi."]
+    assert read("<ul><li><a href='#h-1'>A</a></li><li><a href='/y'>C</a></li></ul>") == ["• A", "• C"]
+    assert read("<div id='toc'><p>x</p></div><div class='my-article-toc'><p>y</p></div><nav><p>z</p></nav><li>satu<p>dua</p></li><p>Baca juga: x</p>") == ["dua"]
