@@ -1,4 +1,4 @@
-"""Text functions as Column expressions; they stay in the JVM but for `unescape`, which needs HTML5's entity table."""
+"""Text functions as Column expressions; they stay in the JVM but for texts with an ampersand, whose entities need HTML5's table."""
 
 from __future__ import annotations
 
@@ -29,15 +29,24 @@ def blank(c: Column) -> Column:
     return F.coalesce(utrim(c), F.lit("")) == ""
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value evaluated once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 @F.pandas_udf(T.StringType())
-def unescape(texts: pd.Series) -> pd.Series:
-    """HTML5 entities, twice where an ampersand is left."""
+def entities(texts: pd.Series) -> pd.Series:
     once = texts.map(html.unescape, na_action="ignore")
     return once.map(lambda s: html.unescape(s) if "&" in s else s, na_action="ignore")
 
 
+def unescape(c: Column) -> Column:
+    """HTML5 entities decoded, twice where an ampersand is left. Only texts with an ampersand are sent to Python; the others are nulls there."""
+    return F.coalesce(entities(F.when(F.contains(c, F.lit("&")), c)), c)
+
+
 def strip_html(c: Column) -> Column:
-    """Script, style and comment blocks to a blank, entities decoded, then tags to a blank. Only texts with an ampersand go to Python."""
+    """Script, style and comment blocks to a blank, then tags to a blank; entities stay."""
     for block in (r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r"(?is)<!--.*?-->"):
         c = F.regexp_replace(c, block, " ")
     return F.regexp_replace(c, r"<[^>]*>", " ")
@@ -73,20 +82,39 @@ def clean_title(c: Column, html_udf: bool = True) -> Column:
 
 
 def dedupe_sentences(c: Column) -> Column:
-    """A text that is twice the same half gives the half; else successive equal sentences (case folded) are kept once."""
-    t = utrim(c)
-    n = F.octet_length(t)
-    half = (F.length(t) / 2).cast("int")
-    first, second = utrim(F.substring(t, F.lit(1), half)), utrim(F.substring(t, half + 1, F.length(t)))
-    parts = F.filter(F.transform(F.split(t, r"\. "), utrim), lambda x: x != "")
-    fold = F.aggregate(
-        parts,
-        F.struct(F.array().cast("array<string>").alias("kept"), F.lit("").alias("last")),
-        lambda s, x: F.struct(F.when(F.lower(x) == s["last"], s["kept"]).otherwise(F.concat(s["kept"], F.array(x))).alias("kept"), F.lower(x).alias("last")),
-    )
-    joined = F.array_join(fold["kept"], ". ")
-    ended = F.when(~joined.endswith(".") & t.endswith("."), F.concat(joined, F.lit("."))).otherwise(joined)
-    return F.when(n < 20, t).when((first == second) & (F.octet_length(first) > 10), first).when(F.size(F.split(t, r"\. ")) <= 1, t).otherwise(ended)
+    """A text of at least 20 bytes that is a text of over 10 bytes twice gives it once; else of successive sentences that differ in case only the first stays."""
+
+    def sentences(t: Column) -> Column:
+        parts = F.filter(F.transform(F.split(t, r"\. "), utrim), lambda x: x != "")
+        firsts = let(parts, lambda ps: F.filter(ps, lambda x, i: (i == 0) | (F.lower(x) != F.lower(F.get(ps, i - 1)))))
+        ended = let(F.array_join(firsts, ". "), lambda j: F.when(~j.endswith(".") & t.endswith("."), F.concat(j, F.lit("."))).otherwise(j))
+        return F.when(F.contains(t, F.lit(". ")), ended).otherwise(t)
+
+    def whole(t: Column) -> Column:
+        raw = F.encode(t, "utf-8")
+        k = F.floor(F.octet_length(t) / 2).cast("int")
+        first, second = F.substring(raw, F.lit(1), k), F.substring(raw, k + 1, F.octet_length(t))
+        # halves are compared as bytes, without the ASCII white space between them
+        bare = lambda x: F.regexp_replace(F.decode(x, "iso-8859-1"), r"^\s+|\s+$", "")
+        twice = let(bare(first), lambda f: (f == bare(second)) & (F.length(f) > 10))
+        return F.when(F.octet_length(t) < 20, t).when(twice, utrim(F.decode(first, "utf-8"))).otherwise(sentences(t))
+
+    return let(utrim(c), whole)
+
+
+def joined(paras: Column) -> Column:
+    """Paragraphs as they are, parted by blank lines."""
+    return F.array_join(paras, "\n\n")
+
+
+def without_initials(c: Column) -> Column:
+    """Without the authors' initials in brackets at the end, such as (ab/cd) or (ab/cd/ef)."""
+    return utrim(F.regexp_replace(c, r"(?i)\s*\([a-z]{2,4}/[a-z]{2,4}(?:/[a-z]{2,4})?\)\s*$", ""))
+
+
+def hyphened(title: Column, slug: Column, word: str, parts: str) -> Column:
+    """The word in a title written with a hyphen where the address's slug has it so."""
+    return F.when(F.contains(F.lower(slug), F.lit(parts.lower())), F.regexp_replace(title, rf"(?i){B0}{word}{B1}", parts)).otherwise(title)
 
 
 def encode_paragraphs(paras: Column) -> Column:

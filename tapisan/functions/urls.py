@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -60,9 +61,24 @@ def resolved(ref: pd.Series, base: pd.Series) -> pd.Series:
 
 
 def resolve(ref: Column, base: Column) -> Column:
-    """Absolute and root-relative references stay in the JVM; only others go to Python."""
+    """Absolute and root-relative references stay in the JVM; only the others are sent to Python, as nulls else."""
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
-    return F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), ref).when(ref.rlike(r"^/[^/]") & ~ref.contains("./"), F.concat(root, ref)).otherwise(resolved(ref, base))
+    plain = F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), ref).when(ref.rlike(r"^/[^/]") & ~ref.contains("./"), F.concat(root, ref))
+    return F.coalesce(plain, resolved(F.when(plain.isNull(), ref), F.when(plain.isNull(), base)))
+
+
+def rebased(url: Column, base: str) -> Column:
+    """The address with scheme and host of another base."""
+    return F.concat(F.lit(base.rstrip("/")), F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", ""))
+
+
+def image_candidate(url: Column, denied: tuple[str, ...] = (), own_hosts: tuple[str, ...] = (), denied_own: tuple[str, ...] = ()) -> Column:
+    """Whether an address may be an article's image: usable, and without a part that is denied; a site's own hosts have a list of their own."""
+    low = F.lower(utrim(url))
+    has = lambda parts: reduce(Column.__or__, (F.contains(low, F.lit(x)) for x in parts), F.lit(False))
+    h = F.coalesce(host(url), F.lit(""))
+    own = reduce(Column.__or__, (F.contains(h, F.lit(x)) for x in own_hosts), F.lit(False))
+    return F.coalesce(source_error(url).isNull() & ~F.when(own, has(denied_own)).otherwise(has(denied)), F.lit(False))
 
 
 def valid_host(url: Column) -> Column:

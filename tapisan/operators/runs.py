@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tapisan.config import written
 
 TERMINAL = ("SUCCESS", "FAILED_PERMANENT")
 
@@ -120,8 +123,43 @@ def owners(bridge: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, by: list[Column], name: str = "place") -> DataFrame:
-    """Rows with their place in an order, for a result that must show it. The order is total over a result to be shown, not over a store."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*by)))
+    """Rows with their place (from 1) in a total order, without a window over all rows.
+
+    A sort by ranges writes the rows with their place in their range; the sizes of the ranges, one number each, give the
+    place at which every range begins.
+    """
+    spark = df.sparkSession
+    ranges = written(df.orderBy(*by).withColumn("_m", F.monotonically_increasing_id()), "ranges")
+    part = F.shiftright("_m", 33)
+    sizes = sorted((r[0], r[1]) for r in ranges.groupBy(part.alias("p")).agg(F.count("*")).collect())
+    begins = list(zip([p for p, _ in sizes], itertools.accumulate((n for _, n in sizes), initial=0)))
+    begin = spark.createDataFrame(begins, "_p long, _b long")
+    place = F.col("_b") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return ranges.join(F.broadcast(begin), part == F.col("_p")).withColumn(name, place).drop("_m", "_p", "_b")
+
+
+def of_source(runs: DataFrame, source: str | None = None, parent: str | None = None) -> DataFrame:
+    """Runs of a source, compared in any case, or of a parent run, or both; blank ones are no filter."""
+    out = runs
+    for column, wanted in (("source", source), ("cron_run_id", parent)):
+        if (wanted or "").strip():
+            out = out.filter(F.lower(column) == wanted.strip().lower())
+    return out
+
+
+def detail(runs: DataFrame, key: str) -> DataFrame:
+    """The run of that id or, if there is none, of that display name in any case."""
+    hit = runs.withColumn("_tier", F.when(F.col("id") == key, 0).when(F.lower("display_name") == key.strip().lower(), 1)).filter("_tier is not null")
+    return hit.orderBy("_tier", F.col("run_number").desc()).limit(1).drop("_tier")
+
+
+def latest(runs: DataFrame) -> DataFrame:
+    """The run that started last, of equal ones that of the highest number and id."""
+    return runs.filter("started_at is not null").orderBy(F.col("started_at").desc(), F.col("run_number").desc(), F.col("id").desc()).limit(1)
+
+
+def on_day(runs: DataFrame, day: Column) -> DataFrame:
+    return runs.filter(F.to_date("started_at") == day)
 
 
 def created(runs: DataFrame, run_id: str, source: str | None = None, trigger: str | None = None, parent: str | None = None) -> DataFrame:

@@ -64,11 +64,38 @@ def sessions(articles: DataFrame, current: str | None = None, all_label: str = "
     """Total first, also of nothing, then articles of each session in order of first appearance."""
     name = F.coalesce(given(F.col("crawl_session")), F.lit(BLANK_SESSION))
     own = articles.groupBy(name.alias("name")).agg(F.count("*").alias("count"), F.min("ordinal").alias("_first"))
-    own = own.select("name", "count", (F.row_number().over(Window.orderBy("_first")) + 1).cast("bigint").alias("place"), (F.col("name") == F.lit(current or "")).alias("is_current"))
+    own = R.numbered(own, [F.col("_first")]).select("name", "count", (F.col("place") + 1).alias("place"), (F.col("name") == F.lit(current or "")).alias("is_current"))
     total = articles.agg(F.lit(all_label).alias("name"), F.count("*").alias("count"), F.lit(1).cast("bigint").alias("place"), F.lit(False).alias("is_current"))
     return total.unionByName(own)
 
 
+def listed(articles: DataFrame, bridge: DataFrame, runs: DataFrame, run: str | None = None, day: str | None = None, newest: bool = True, live: DataFrame | None = None) -> DataFrame:
+    """The list query: articles of a run or session, else of a day, else all, in order of time.
+
+    A run given beats a day given. Where nothing is found, the rows of the session now running (`live`) are listed.
+    """
+    if (run or "").strip():
+        found = by_run(articles, bridge, runs, run)
+    elif (day or "").strip():
+        found = by_day(articles, bridge, runs, day)
+    else:
+        found = articles
+    if live is not None and not found.limit(1).count():
+        found = live
+    return found.orderBy(*order_by_time(newest))
+
+
+def repaired(articles: DataFrame, drop: list[str] = (), hosts: tuple[str, ...] = ("cloudfront.net",)) -> DataFrame:
+    """The repair pass: cleaned paragraphs (contents within the first ten) and images, with `changed` for the rows that differ."""
+    from tapisan.functions import paragraphs
+    from tapisan.functions.text import encode_paragraphs
+    from tapisan.functions.urls import fixed_image
+
+    clean = encode_paragraphs(paragraphs.without_leading_contents(paragraphs.clean_stored(F.col("description"), drop), 10))
+    out = articles.withColumns({"_d": clean, "_i": fixed_image(F.col("image"))})
+    return out.withColumn("changed", ~F.col("_d").eqNullSafe(F.col("description")) | ~F.col("_i").eqNullSafe(F.col("image"))).withColumns({"description": F.col("_d"), "image": F.col("_i")}).drop("_d", "_i")
+
+
 def order_by_time(newest: bool = True) -> list[Column]:
     """Blank times last in either order, those by title; equal ones as they arrived. Times are compared as text."""
     empty = F.coalesce(F.col("scraped_at"), F.lit("")) == ""

@@ -330,23 +330,30 @@ def run_days(spark, sf):
 @query(_LOG + ", d AS (SELECT max(CAST(started_at AS DATE)) AS d FROM log) SELECT id, display_name, status FROM log, d WHERE CAST(started_at AS DATE) = d")
 def runs_of_last_day(spark, sf):
     log = _runs(spark, sf)
-    last = log.agg(F.max(F.to_date("started_at")).alias("d"))
-    return log.join(F.broadcast(last), F.to_date("started_at") == F.col("d")).select("id", "display_name", "status")
+    last = log.agg(F.max(F.to_date("started_at"))).first()[0]
+    return runs.on_day(log, F.lit(last)).select("id", "display_name", "status")
 
 
 @query(_LOG + " SELECT id, run_number, status FROM log ORDER BY started_at DESC NULLS LAST, run_number DESC LIMIT 1")
 def latest_run(spark, sf):
-    return _runs(spark, sf).orderBy(F.col("started_at").desc_nulls_last(), F.col("run_number").desc()).limit(1).select("id", "run_number", "status")
+    return runs.latest(_runs(spark, sf)).select("id", "run_number", "status")
 
 
-@query(_LOG + " SELECT id, source, cron_run_id FROM log WHERE lower(source) = 'info glerbok' AND starts_with(lower(coalesce(cron_run_id, '')), 'cron-')")
+@query(_LOG + " SELECT id, source, cron_run_id FROM log WHERE lower(source) = 'info glerbok'")
 def runs_of_source(spark, sf):
-    return _runs(spark, sf).filter((F.lower("source") == "info glerbok") & F.lower(F.coalesce("cron_run_id", F.lit(""))).startswith("cron-")).select("id", "source", "cron_run_id")
+    return runs.of_source(_runs(spark, sf), " Info Glerbok ").select("id", "source", "cron_run_id")
+
+
+@query(_LOG + ", p AS (SELECT min(lower(cron_run_id)) AS p FROM log WHERE cron_run_id <> '') SELECT id, cron_run_id FROM log, p WHERE lower(cron_run_id) = p")
+def runs_of_parent(spark, sf):
+    log = _runs(spark, sf)
+    parent = log.filter("cron_run_id <> ''").agg(F.min(F.lower("cron_run_id"))).first()[0]
+    return runs.of_source(log, parent=parent or "-").select("id", "cron_run_id")
 
 
 @query(_LOG + f" SELECT id, run_number, status, total_new FROM log WHERE id = '{RUN}' OR lower(trim(display_name)) = lower('{RUN}')")
 def run_detail(spark, sf):
-    return _runs(spark, sf).filter((F.col("id") == RUN) | (store.fold(F.col("display_name")) == RUN.lower())).select("id", "run_number", "status", "total_new")
+    return runs.detail(_runs(spark, sf), RUN).select("id", "run_number", "status", "total_new")
 
 
 @query(_LOG + ", p AS (SELECT id, row_number() OVER (ORDER BY started_at DESC NULLS LAST, run_number DESC, id) AS place FROM log) SELECT id, place FROM p")
