@@ -8,12 +8,13 @@ the runs, and labels run along the links until every component that holds a trus
 one are never walked. A document of which a third is labelled gives its label to its other pieces, which link on in turn. A
 document is residue if all its pieces are labelled, so a real text that quotes a message is none.
 
-Only a document's first and last piece enter the tables at first: if neither is labelled it can't be residue. The others
-follow for documents with one of them labelled.
+Every piece of every document enters the tables. The labelled side of a round goes to the tasks as arrays in parts of a
+fixed size, so the tables are neither shuffled nor broadcast and the driver holds one part at a time.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 import re
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,8 +80,11 @@ ZERO = re.compile(r"[​-‏⁠﻿­]")
 SENTENCE, IDS, NUMBERS = re.compile(r"(?<=[.!?;])\s+"), re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{7,}\b"), re.compile(r"\d+")
 #: Characters of a run, least similarity of two pieces' runs, Hamming distance of their 128 bits, and share of a document that labels the rest of it.
 RUN, SIMILAR, BITS, SHARE = 4, 0.6, 40, 0.34
-#: Most labelled nodes whose 56 table rows (40 bytes each) are broadcast, and most keys of 8 bytes; more are shuffled.
-BROADCAST_NODES, BROADCAST_KEYS = 10_000, 500_000
+#: Labelled pieces that a pass holds as arrays (24 bytes each), most keys of 8 bytes that are broadcast (more are shuffled), and pieces whose fingerprints are counted at once.
+PART, BROADCAST_KEYS, CHUNK = 100_000, 100_000, 4096
+#: What a trusted wording that needn't begin its piece can't do without; others are tried at the beginning only.
+FILLER_HINTS = ("placeholder ", "dummy ", "filler ", "teks ", "texto ", " text ", "here", "di sini", "aqu", "be added", "be filled", "akan di", "se agregar", "se completar")
+MESSAGE_HINTS = ("connection", "koneksi", "sambungan", "conexi", "enable", "activate", "aktif", "active", "habilite")
 #: Words of mock Latin's vocabulary that are kept.
 LATIN_WORDS = 5000
 
@@ -129,20 +134,11 @@ def pieces(text: str | None) -> list[str]:
     return [p for x in unwrapped(text).split("\n") for p in line_pieces(x)] if text else []
 
 
-def end_pieces(text: str) -> list[str]:
-    """The first and the last of `pieces`, found from both ends."""
-    lines = unwrapped(text).split("\n")
-    first = next((p[0] for p in map(line_pieces, lines) if p), None)
-    if first is None:
-        return []
-    return [first, next(p[-1] for p in map(line_pieces, reversed(lines)) if p)]
-
-
 def trusted(piece: str, latin: frozenset[str] = frozenset()) -> str | None:
     """message, filler or None of a masked piece; `latin` is the vocabulary of mock Latin."""
-    if FILLER.search(piece):
+    if any(x in piece for x in FILLER_HINTS) and FILLER.search(piece):
         return "filler"
-    if MESSAGE.search(piece):
+    if MESSAGE.match(piece) or ((piece.endswith(" 0") or any(x in piece for x in MESSAGE_HINTS)) and MESSAGE.search(piece)):
         return "message"
     if latin:
         own = words(piece)
@@ -175,137 +171,218 @@ def runs(piece: str) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh32_intdigest(t[i : i + RUN]) for i in range(max(1, len(t) - RUN + 1))), np.uint32))
 
 
-def simhashes(features: np.ndarray) -> tuple[int, int]:
-    """Two independent fingerprints of 64 bits, each bit the majority of that bit over the features' hashes."""
-    f = features.astype(np.uint64)
-    both = np.stack([mixed(f), mixed(f + np.uint64(2**32))], axis=1)
-    bits = np.unpackbits(both.view(np.uint8).reshape(len(f), 16), axis=1)
-    out = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(f)).view(np.int64)
-    return int(out[0]), int(out[1])
+def run_hashes(text: str) -> np.ndarray:
+    """The 32-bit hashes of `runs` of all runs of RUN = 4 characters of the text, by place."""
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    # xxh32 of four bytes
+    h = (chars[:-3] | chars[1:-2] << 8 | chars[2:-1] << 16 | chars[3:] << 24) * np.uint32(3266489917) + np.uint32(374761393 + 4)
+    h = (h << 17 | h >> 15) * np.uint32(668265263)
+    h = (h ^ h >> 15) * np.uint32(2246822519)
+    h = (h ^ h >> 13) * np.uint32(3266489917)
+    h ^= h >> 16
+    wide = chars > 127
+    if wide.any():
+        for i in np.flatnonzero(wide[:-3] | wide[1:-2] | wide[2:-1] | wide[3:]):
+            h[i] = xxhash.xxh32_intdigest(text[i : i + RUN])
+    return h.astype(np.uint64)
 
 
-def node(piece: str, latin: frozenset[str]) -> tuple:
-    r = runs(piece)
-    return xxhash.xxh3_64_intdigest(piece) - 2**63, *simhashes(r), len(piece), trusted(piece, latin), r.view(np.int32).tolist()
+def simhashes(own: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent fingerprints of 64 bits of each piece, each bit the majority of that bit over its runs, and the number of its runs.
 
+    Bits are counted in planes: plane k holds bit k of the counts of all 64 places of a word, and a run is added to all at once.
+    """
+    sizes = np.array([max(1, len(p) + 3 - RUN) for p in own], np.int64)
+    out, order = np.zeros((len(own), 2), np.int64), np.argsort(-sizes, kind="stable")
+    for at in range(0, len(own), CHUNK):
+        some = order[at : at + CHUNK]
+        texts = [f" {own[i]} ".ljust(RUN) for i in some]
+        text = "".join(texts)
+        lengths = np.array(list(map(len, texts)))
+        starts, n = np.r_[0, np.cumsum(lengths)[:-1]], lengths - RUN + 1
+        h = run_hashes(text)
+        h = np.stack([mixed(h), mixed(h + np.uint64(2**32))], axis=1)
+        planes = np.zeros((int(n[0]).bit_length(), len(some), 2), np.uint64)
+        for place, m in zip(range(int(n[0])), len(n) - np.searchsorted(n[::-1], np.arange(int(n[0])), side="right")):
+            carry = h[starts[:m] + place]
+            for k in range((place + 1).bit_length()):
+                plane = planes[k, :m]
+                both = plane & carry
+                plane ^= carry
+                carry = both
+        # places whose count is more than half
+        half, more, same = (n // 2)[:, None], np.zeros((len(some), 2), np.uint64), np.full((len(some), 2), 2**64 - 1, np.uint64)
+        for k in reversed(range(len(planes))):
+            bit = np.where(half >> k & 1, np.uint64(2**64 - 1), np.uint64(0))
+            more |= same & planes[k] & ~bit
+            same &= ~(planes[k] ^ bit)
+        out[some] = more.view(np.int64)
+    return out, sizes
+
+
+def marked(df: DataFrame, id_col: str, text_col: str, latin: frozenset[str]) -> DataFrame:
+    """A row for each piece of every document; documents with a placeholder have one row without a piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            number: dict[str, int] = {}
+            ids, at, gaps = [], [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if not t or not t.strip(SPACE):
+                    continue
+                if has_placeholder(t):
+                    gaps.append(i)
+                    continue
+                own = [number.setdefault(p, len(number)) for p in pieces(t)]
+                ids += [i] * len(own)
+                at += own
+            own, at = list(number), np.array(at, np.int64)
+            prints, n = simhashes(own)
+            h = np.array([xxhash.xxh3_64_intdigest(p) - 2**63 for p in own], np.int64)
+            chars = np.array(list(map(len, own)), np.int32)
+            kinds = pa.array([trusted(p, latin) for p in own], pa.string())
+            cols = [pa.array(ids, pa.int64()), *(pa.array(x[at]) for x in (h, prints[:, 0], prints[:, 1], n.astype(np.int32), chars)), kinds.take(pa.array(at)), pa.array(own, pa.string()).take(pa.array(at))]
+            yield pa.RecordBatch.from_arrays(cols, names=PIECE_NAMES)
+            if gaps:
+                yield pa.RecordBatch.from_arrays([pa.array(gaps, pa.int64()), *(pa.nulls(len(gaps), c.type) for c in cols[1:])], names=PIECE_NAMES)
 
-NODE = "array<struct<h: bigint, s0: bigint, s1: bigint, chars: int, kind: string, runs: array<int>>>"
+    base = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).filter("id is not null")
+    return base.mapInArrow(run, PIECES)
 
 
-def marked(df: DataFrame, id_col: str, text_col: str, latin: frozenset[str], ends: bool) -> DataFrame:
-    """(id, placeholder, pieces) of every document; with `ends` only the first and last piece, and none where there is a placeholder."""
+PIECES = "id bigint, h bigint, s0 bigint, s1 bigint, n int, chars int, rule string, piece string"
+PIECE_NAMES = [c.split()[0] for c in PIECES.split(", ")]
+NODE = ["h", "s0", "s1", "n"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, tuple] = {}
-        for b in batches:
-            out = []
-            if len(cache) > 100_000:
-                cache.clear()
-            for i, t in zip(b["id"].tolist(), b["text"].tolist()):
-                empty = not t or not t.strip(SPACE)
-                gap = not empty and ends and has_placeholder(t)
-                own = [] if empty or gap else end_pieces(t) if ends else pieces(t)
-                for p in own:
-                    if p not in cache:
-                        cache[p] = node(p, latin)
-                out.append((i, gap, [dict(zip(("h", "s0", "s1", "chars", "kind", "runs"), cache[p])) for p in own]))
-            yield pd.DataFrame(out, columns=["id", "placeholder", "pieces"])
 
-    base = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).filter("id is not null")
-    return base.mapInPandas(run, f"id bigint, placeholder boolean, pieces {NODE}")
+def small(df: DataFrame, n: int, most: int = BROADCAST_KEYS) -> DataFrame:
+    """df of n rows, broadcast if these are at most `most`."""
+    return F.broadcast(df) if n <= most else df
 
 
-def nodes_of(docs: DataFrame) -> DataFrame:
-    """(h, s0, s1, kind, runs), each piece once."""
-    p = docs.select(F.explode("pieces").alias("p")).select("p.*")
-    return p.groupBy("h").agg(*[F.first(c).alias(c) for c in ("s0", "s1", "kind", "runs")])
+class Tables:
+    """Labelled pieces in partitioned tables: one for each two of the eight blocks of each of the two SimHashes, both equal in a candidate."""
+
+    def __init__(self, h: np.ndarray, s0: np.ndarray, s1: np.ndarray, n: np.ndarray):
+        self.h, self.s, self.n = h, (s0.view(np.uint64), s1.view(np.uint64)), n
+        self.order, self.starts = [], []
+        for key in self.keys(s0, s1):
+            self.order.append(np.argsort(key, kind="stable").astype(np.int32))
+            self.starts.append(np.r_[0, np.cumsum(np.bincount(key, minlength=65536))].astype(np.int32))
+        self.used = [np.diff(x) > 0 for x in self.starts]
+
+    @staticmethod
+    def keys(s0: np.ndarray, s1: np.ndarray) -> Iterator[np.ndarray]:
+        for s in (s0, s1):
+            b = np.ascontiguousarray(np.ascontiguousarray(s).view(np.uint8).reshape(-1, 8).T).astype(np.uint16)
+            for i, j in itertools.combinations(range(8), 2):
+                yield b[i] << 8 | b[j]
+
+    def near(self, h: np.ndarray, s0: np.ndarray, s1: np.ndarray, n: np.ndarray, threshold: float, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the given pieces and of the labelled ones that they may be near to."""
+        found = [np.zeros(0, np.int64)]
+        a, b = s0.view(np.uint64), s1.view(np.uint64)  # counts of signed numbers would be those of their amounts
+        for key, used, order, starts in zip(self.keys(s0, s1), self.used, self.order, self.starts):
+            own = np.flatnonzero(used[key])
+            low = starts[key[own]]
+            many = starts[key[own].astype(np.int64) + 1] - low
+            for cut in np.split(np.arange(len(own)), np.flatnonzero(np.diff(np.cumsum(many) // 1_000_000)) + 1):
+                if len(cut):
+                    m = many[cut]
+                    x = np.repeat(own[cut], m)
+                    y = order[np.repeat(low[cut] - (np.cumsum(m) - m), m) + np.arange(len(x))]
+                    ok = np.bitwise_count(a[x] ^ self.s[0][y]).astype(np.int16) + np.bitwise_count(b[x] ^ self.s[1][y]) <= bits
+                    x, y = x[ok], y[ok]
+                    # runs that repeat in a piece count in n, so twice the length may be allowed for what their sets allow
+                    ok = (np.minimum(n[x], self.n[y]) >= threshold * np.maximum(n[x], self.n[y]) / 2) & (h[x] != self.h[y])
+                    found.append(x[ok] * len(self.h) + y[ok])
+        both = np.unique(np.concatenate(found))
+        return both // max(1, len(self.h)), both % max(1, len(self.h))
+
+
+def candidates(nodes: DataFrame, fresh: DataFrame, n_fresh: int, threshold: float, bits: int) -> DataFrame:
+    """(h, s0, s1, n, a): pieces and the fresh labelled ones a that share a table key and lie within the Hamming distance.
+
+    The fresh ones are taken in parts of about PART, one pass over the pieces for each.
+    """
+    parts = -(-n_fresh // PART)
 
+    def passed(k: int) -> DataFrame:
+        part = fresh.filter(F.pmod("h", F.lit(parts)) == k).select(*NODE).toArrow()
+        own = [part.column(c).to_numpy() for c in NODE]
 
-def tables(df: DataFrame) -> DataFrame:
-    """df with a row for each table of its two SimHashes: `key` tells the table and the two of eight blocks that must be equal."""
-    places = [(c, i, j) for c in ("s0", "s1") for i, j in itertools.combinations(range(8), 2)]
-    keys = (f"{n * 65536} + (shiftrightunsigned({c}, {8 * i}) & 255) * 256 + (shiftrightunsigned({c}, {8 * j}) & 255)" for n, (c, i, j) in enumerate(places))
-    return df.withColumn("key", F.expr(f"explode(array({', '.join(keys)}))"))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tables = None
+            for b in batches:
+                tables = tables or Tables(*own)
+                cols = [b.column(k).to_numpy() for k in range(4)]
+                _, first = np.unique(cols[0], return_index=True)
+                cols = [c[first] for c in cols]
+                x, y = tables.near(*cols, threshold, bits)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[x]) for c in cols), pa.array(tables.h[y])], names=[*NODE, "a"])
 
+        return nodes.select(*NODE).filter("h is not null").mapInArrow(run, "h bigint, s0 bigint, s1 bigint, n int, a bigint")
 
-def small(df: DataFrame, n: int, most: int) -> DataFrame:
-    """df of n rows, broadcast if these are at most `most`."""
-    return F.broadcast(df) if n <= most else df
+    out = [written(passed(k), "met") for k in range(parts)]
+    return out[0] if parts == 1 else written(functools.reduce(DataFrame.unionByName, out), "met")
 
 
-def linked(nodes: DataFrame, labels: DataFrame, fresh: DataFrame, n_labels: int, n_fresh: int, threshold: float, bits: int, among: DataFrame | None = None) -> DataFrame:
-    """(h, kind): unlabelled nodes with a near-duplicate among the `fresh` of the labels (h, kind).
+def linked(nodes: DataFrame, labels: DataFrame, fresh: DataFrame, n_labels: int, n_fresh: int, threshold: float, bits: int) -> DataFrame:
+    """(h, s0, s1, n, kind): unlabelled pieces with a near-duplicate among the `fresh` of the labels (h, kind).
 
-    Candidates share a table key; the Hamming distance is verified, then the similarity of the runs. The labelled side is
-    broadcast while it is at most BROADCAST_NODES nodes, so the tables of the others needn't be shuffled; else both are.
-    Nodes whose number of runs is too far from all fresh ones' to be similar are left out at once. `among` holds the labelled nodes where `nodes` are only some.
+    Candidates share a table key; the Hamming distance is verified, then the similarity of the runs.
     """
-    among = nodes if among is None else among
-    own = among.select("h", "s0", "s1", F.size("runs").alias("n")).join(small(fresh, n_fresh, BROADCAST_KEYS), "h")
-    x = written(own, "fresh")
-    least, most = x.agg(F.min("n"), F.max("n")).first()
-    kinds = x.select(F.col("h").alias("a"), "kind")
-    x = tables(x).select("key", F.col("h").alias("a"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
-    y = nodes.select("h", "s0", "s1", F.size("runs").alias("n")).filter(F.col("n").between(threshold * least - 1e-9, most / threshold + 1e-9))
-    y = tables(y.join(small(labels.select("h"), n_labels, BROADCAST_KEYS), "h", "left_anti"))
-    near = F.expr(f"bit_count(s0 ^ t0) + bit_count(s1 ^ t1) <= {bits}")
-    met = written(y.join(small(x, n_fresh, BROADCAST_NODES), "key").filter(near).select("h", "a").distinct(), "met")
-    ends = small(met.select(F.explode(F.array("h", "a")).alias("h")).distinct(), met.count(), BROADCAST_KEYS)
-    sets = written(among.select("h", "runs").join(ends, "h", "left_semi"), "sets")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"h": b["h"], "runs": [runs(p).view(np.int32) for p in b["piece"]]})
+
+    met = candidates(nodes, fresh, n_fresh, threshold, bits)
+    met = written(met.join(small(labels.select("h"), n_labels), "h", "left_anti").dropDuplicates(["h", "a"]), "open")
+    ends = written(met.select(F.explode(F.array("h", "a")).alias("h")).distinct(), "ends")
+    pieces_ = nodes.select("h", "piece").join(small(ends, ends.count()), "h", "left_semi").groupBy("h").agg(F.first("piece").alias("piece"))
+    sets = written(pieces_.mapInPandas(run, "h bigint, runs array<int>"), "sets")
     both = met.join(sets.select(F.col("h").alias("a"), F.col("runs").alias("ra")), "a").join(sets, "h")
     shared = F.size(F.array_intersect("ra", "runs"))
-    sure = both.filter(shared >= threshold * (F.size("ra") + F.size("runs") - shared) - 1e-9).select("h", "a").join(kinds, "a")
-    return written(sure.groupBy("h").agg(F.min("kind").alias("kind")), "linked")
+    sure = both.filter(shared >= threshold * (F.size("ra") + F.size("runs") - shared) - 1e-9).join(fresh.select(F.col("h").alias("a"), "kind"), "a")
+    return written(sure.groupBy("h").agg(*[F.first(c).alias(c) for c in ("s0", "s1", "n")], F.min("kind").alias("kind")), "linked")
 
 
 def residue(df: DataFrame, id_col: str, text_col: str, threshold: float = SIMILAR, bits: int = BITS, share: float = SHARE) -> DataFrame:
     """(id, kind, trusted) of the residue: placeholder, filler or message; trusted is false where a label was propagated.
 
-    Null and blank texts, and texts of names and copyright lines only, aren't residue. Equal pieces are one node, so any
-    number of copies is one row of a table. Each round links the newest labels and then looks at the documents they touch;
-    rounds end when nothing more is labelled. A document that holds several kinds is a message. Other columns aren't read.
+    Null and blank texts, and texts of names and copyright lines only, aren't residue. Each round links the newest labels to all
+    pieces and then looks at the documents they touch; rounds end when nothing more is labelled. A document that holds several
+    kinds is a message. Other columns aren't read.
     """
-    latin = latin_words(df, id_col, text_col)
-    own = written(marked(df, id_col, text_col, latin, True), "ends")
-    ends = own.select("id", F.explode(F.array_distinct(F.transform("pieces", lambda p: p["h"]))).alias("h"))
-    nodes = written(nodes_of(own), "nodes")
-    labels = fresh = written(nodes.filter("kind is not null").select("h", "kind"), "labels")
-    n_labels = n_fresh = labels.count()
-    full = df.sparkSession.createDataFrame([], "id bigint, h bigint, chars int")
-    touching = labels
+    own = written(marked(df, id_col, text_col, latin_words(df, id_col, text_col)), "pieces")
+    columns = ["id", *NODE, "chars", "rule"]
+    labels = fresh = arrived = written(own.filter("rule is not null").groupBy("h").agg(*[F.first(c).alias(c) for c in ("s0", "s1", "n")], F.min("rule").alias("kind")), "labels")
+    n_labels = n_fresh = n_arrived = labels.count()
+    full = df.sparkSession.createDataFrame([], own.select(*columns).schema)
+    n_full = 0
     while n_fresh:
-        new = linked(nodes, labels, fresh, n_labels, n_fresh, threshold, bits)
+        new = linked(own, labels, fresh, n_labels, n_fresh, threshold, bits)
         n_new = new.count()
-        labels, n_labels, touching = labels.unionByName(new), n_labels + n_new, touching.unionByName(new)
-        # whole texts of the documents that a label touches for the first time
-        touched = ends.join(small(touching.select("h"), n_labels, BROADCAST_KEYS), "h", "left_semi").select(F.col("id").alias("_id")).distinct()
-        touched = written(touched.join(full.select(F.col("id").alias("_id")).distinct(), "_id", "left_anti"), "touched")
-        n_added = 0
+        labels, n_labels, arrived, n_arrived = labels.unionByName(new), n_labels + n_new, arrived.unionByName(new), n_arrived + n_new
+        # all pieces of the documents that a label touches for the first time
+        touched = own.select("id", "h").join(small(arrived.select("h"), n_arrived), "h", "left_semi").select("id").distinct()
+        touched = written(touched.join(small(full.select("id").distinct(), n_full), "id", "left_anti"), "touched")
         if n := touched.count():
-            texts = df.join(small(touched, n, BROADCAST_KEYS), F.col(f"`{id_col}`") == F.col("_id"), "left_semi")
-            more = written(marked(texts, id_col, text_col, latin, False), "pieces")
-            added = written(nodes_of(more).join(nodes.select("h"), "h", "left_anti"), "added")
-            n_added = added.filter("kind is null").count()
-            full = full.unionByName(more.select("id", F.explode("pieces").alias("p")).select("id", "p.h", "p.chars"))
-            nodes, labels = nodes.unionByName(added), labels.unionByName(added.filter("kind is not null").select("h", "kind"))
-        part = full.join(labels, "h", "left").groupBy("id").agg(F.sum("chars").alias("n"), F.sum(F.when(F.col("kind").isNotNull(), F.col("chars"))).alias("m"), F.max("kind").alias("k"))
-        given = part.filter((F.col("m") < F.col("n")) & (F.col("m") >= share * F.col("n"))).select("id", "k")
-        touching = written(full.join(given, "id").join(labels, "h", "left_anti").groupBy("h").agg(F.max("k").alias("kind")), "given")
-        labels = written(labels.unionByName(touching), "labels")
-        n_labels = labels.count()
-        fresh = new.unionByName(touching)
-        if n_added:
-            # pieces that are nodes only now may be near to any label
-            late = linked(added, labels, labels, n_labels, n_labels, threshold, bits, nodes)
-            n_late = late.count()
-            labels, n_labels, fresh, touching = labels.unionByName(late), n_labels + n_late, fresh.unionByName(late), touching.unionByName(late)
-        fresh = written(fresh, "newest")
-        n_fresh = fresh.count()
+            full = full.unionByName(written(own.select(*columns).join(small(touched, n), "id", "left_semi"), "full"))
+            n_full += n
+        known = full.join(small(labels.select("h", "kind"), n_labels), "h", "left")
+        part = known.groupBy("id").agg(F.sum("chars").alias("_n"), F.sum(F.when(F.col("kind").isNotNull(), F.col("chars"))).alias("_m"), F.max("kind").alias("k"))
+        given = written(part.filter((F.col("_m") < F.col("_n")) & (F.col("_m") >= share * F.col("_n"))).select("id", "k"), "given")
+        arrived = known.filter("kind is null").drop("kind").join(small(given, given.count()), "id")
+        arrived = written(arrived.groupBy("h").agg(*[F.first(c).alias(c) for c in ("s0", "s1", "n")], F.max("k").alias("kind")), "arrived")
+        n_arrived = arrived.count()
+        labels, n_labels = written(labels.unionByName(arrived), "labels"), n_labels + n_arrived
+        fresh, n_fresh = written(new.unionByName(arrived), "newest"), n_new + n_arrived
         # a round's broadcasts stay in the driver until it collects its garbage
         df.sparkSession._jvm.System.gc()
-    rules = nodes.filter("kind is not null").select("h", F.lit(True).alias("_t"))
-    whole = full.join(labels, "h", "left").join(rules, "h", "left").groupBy("id").agg(F.count_if(F.col("kind").isNull()).alias("_open"), F.max("kind").alias("kind"), F.min(F.coalesce("_t", F.lit(False))).alias("trusted"))
-    found = whole.filter("_open = 0").select("id", "kind", "trusted").unionByName(own.filter("placeholder").select("id", F.lit("placeholder").alias("kind"), F.lit(True).alias("trusted")))
+    whole = full.join(small(labels.select("h", "kind"), n_labels), "h", "left").groupBy("id").agg(F.count_if(F.col("kind").isNull()).alias("_open"), F.max("kind").alias("kind"), F.min(F.col("rule").isNotNull()).alias("trusted"))
+    found = whole.filter("_open = 0").select("id", "kind", "trusted").unionByName(own.filter("h is null").select("id", F.lit("placeholder").alias("kind"), F.lit(True).alias("trusted")))
     return found.select(F.col("id").alias(id_col), "kind", "trusted")
 
 

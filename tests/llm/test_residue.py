@@ -85,3 +85,36 @@ def test_clean_and_empty(spark):
     df = spark.createDataFrame([(1, "404: Halaman tidak ditemukan"), (2, REAL)], "d bigint, text string")
     assert [r.d for r in residue.without_residue(df, "d", residue.residue(df, "d", "text")).collect()] == [2]
     assert residue.residue(df.limit(0), "d", "text").count() == 0
+
+
+def test_middle_pieces_label_and_link(spark):
+    """A document whose ends say nothing is residue if a labelled piece between them is a third of it; such a piece also links others."""
+    message = "Aktifkan skrip di peramban Anda untuk memuat artikel ini"
+    rows = [(1, f"Selamat siang.\n{message}.\nSalam hangat."), (2, f"{REAL} {REAL[:40]}\n{message}.\n{REAL} Warga {REAL.lower()}")]
+    assert {r.d for r in residue.residue(spark.createDataFrame(rows, "d bigint, text string"), "d", "text").collect()} == {1}
+
+
+def test_parts_give_the_same(spark, monkeypatch):
+    """Labelled pieces taken in many small parts, and nothing broadcast, link the same."""
+    rows = [(k, f"{a} skrip di {b} Anda untuk {c} artikel ini.") for k, (a, b, c) in enumerate((a, b, c) for a in ("Aktifkan", "Nyalakan", "Izinkan") for b in ("peramban", "pelayar") for c in ("memuat", "membuka", "melihat"))]
+    df = spark.createDataFrame(rows, "d bigint, text string")
+    want = {tuple(r) for r in residue.residue(df, "d", "text").collect()}
+    monkeypatch.setattr(residue, "PART", 2)
+    monkeypatch.setattr(residue.small, "__defaults__", (0,))
+    assert {tuple(r) for r in residue.residue(df, "d", "text").collect()} == want and len(want) > 9
+
+
+def test_fingerprints_are_majorities():
+    own = ["a", "", "aktifkan skrip di peramban anda", "x" * 300, "señal 😀 de página", *("kata " * k + "akhir" for k in range(1, 40))]
+    prints, n = residue.simhashes(own)
+    for p, got, m in zip(own, prints, n.tolist()):
+        t = f" {p} ".ljust(residue.RUN)
+        votes = [[0] * 64, [0] * 64]
+        for k in range(len(t) - residue.RUN + 1):
+            h = residue.xxhash.xxh32_intdigest(t[k : k + residue.RUN])
+            for w, v in enumerate(votes):
+                bits = int(residue.mixed(residue.np.array([(h + w * 2**32) % 2**64], residue.np.uint64))[0])
+                for i in range(64):
+                    v[i] += bits >> i & 1
+        assert m == len(t) - residue.RUN + 1
+        assert [int(x) % 2**64 for x in got] == [sum((2 * v[i] > m) << i for i in range(64)) for v in votes]
