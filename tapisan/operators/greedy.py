@@ -3,11 +3,14 @@ block nothing. That is the lexicographically first maximal independent set of th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tapisan.config import written
 from tapisan.functions import text, urls
@@ -59,32 +62,91 @@ def sketch(t: Column, k: int) -> Column:
     return F.aggregate(F.filter(pairs, lambda h: F.floor(h / 64) == k), F.lit(0).cast("bigint"), lambda x, h: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(h, F.lit(64)).cast("int"))))
 
 
-def similar_titles(titles: DataFrame, threshold: float = 0.85, q: int = 3) -> DataFrame:
+#: Texts whose lengths and sketches a pass holds as arrays (172 bytes each), tasks of a pass, and bits of the sketch of runs of three.
+PART, TASKS, FINE = 50_000, 48, 1024
+SKETCHES = ["i", "n", "s0", "s1", "s2", "s3", "fine"]
+
+
+def with_fine(titles: DataFrame) -> DataFrame:
+    """titles (i, n, s0..s3, t) with `fine` for t, FINE bits of which every run of three characters flips one: an edit changes at most six."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place: dict[str, int] = {}
+        for b in batches:
+            out = []
+            for t in b.column(6).to_pylist():
+                if len(place) > 500_000:
+                    place.clear()
+                g = [t[k : k + 3] for k in range(max(1, len(t) - 2))]
+                for x in g:
+                    if x not in place:
+                        place[x] = xxhash.xxh3_64_intdigest(x) % FINE
+                out.append(np.packbits(np.bincount([place[x] for x in g], minlength=FINE).astype(np.uint8) & 1).tobytes())
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(6)), pa.array(out, pa.binary())], names=SKETCHES)
+
+    return titles.select(*SKETCHES[:6], "t").mapInArrow(run, "i bigint, n int, s0 bigint, s1 bigint, s2 bigint, s3 bigint, fine binary")
+
+
+def alike(titles: DataFrame, part: pa.Table, threshold: float) -> DataFrame:
+    """(i, j) of titles (SKETCHES) and those of the part behind them by (n, i) whose lengths and sketches allow the threshold."""
+    n, i, *s = (part.column(c).to_numpy() for c in ("n", "i", "s0", "s1", "s2", "s3"))
+    order = np.lexsort((i, n))
+    n, i, s = n[order], i[order], [c.view(np.uint64)[order] for c in s]
+    words = FINE // 64
+    fine = np.frombuffer(b"".join(part.column("fine").to_pylist()), np.uint64).reshape(-1, words)[order]
+    most = np.floor(n * (1 - threshold) + 1e-9).astype(np.int64)
+    # grows with n
+    least, limit, finer = n - most, np.minimum(4 * most, 256).astype(np.uint16), 6 * most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, c, total = np.empty(len(n), np.uint64), np.empty(len(n), np.uint8), np.empty(len(n), np.uint16)
+        for b in batches:
+            ids, lengths, *own = (b.column(k).to_numpy() for k in range(6))
+            mine = np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint64).reshape(-1, words)
+            own = [w.view(np.uint64) for w in own]
+            lows, tops, highs = np.searchsorted(n, lengths, "left"), np.searchsorted(n, lengths, "right"), np.searchsorted(least, lengths, "right")
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for k, me in enumerate(ids):
+                lo = lows[k] + np.searchsorted(i[lows[k] : tops[k]], me, "right")
+                hi = highs[k]
+                if lo >= hi:
+                    continue
+                m = hi - lo
+                xs, cs, sums = x[:m], c[:m], total[:m]
+                sums[:] = 0
+                for w in range(3):
+                    np.bitwise_xor(s[w][lo:hi], own[w][k], out=xs)
+                    np.bitwise_count(xs, out=cs)
+                    sums += cs
+                at = np.flatnonzero(sums <= limit[lo:hi])
+                at = at[sums[at] + np.bitwise_count(s[3][lo + at] ^ own[3][k]) <= limit[lo + at]]
+                at = at[np.bitwise_count(fine[lo + at] ^ mine[k]).sum(axis=1, dtype=np.int64) <= finer[lo + at]]
+                left.append(np.full(len(at), me))
+                right.append(i[lo + at])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["i", "j"])
+
+    return titles.select(*SKETCHES).mapInArrow(run, "i bigint, j bigint")
+
+
+def similar_titles(titles: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(t, u, similarity) of distinct texts t < u with 1 - edits / longer >= threshold, none missed.
 
-    Texts within d edits share all but at most q * d of their q-grams, so among the q * d + 1 rarest of each there is a
-    common one, at positions at most d apart, and their sketches differ in at most 4 d bits. Rarity is counted over all
-    texts; texts too short for that meet all of a length within d. An empty text is similar to none. The price of missing
-    none is that a gram's texts meet each other: this is for stores of up to about a million titles.
+    Texts within d edits differ in length by at most d and in at most 4 d and 6 d bits of their sketches. All texts of lengths that
+    allow the threshold are compared by their sketches, which go to the tasks as arrays of about PART texts; nothing but the
+    pairs that pass is shuffled, with their texts. An empty text is similar to none. The price of missing none is the number
+    of comparisons, which grows with the square of the texts: this is for stores of up to about a million titles.
     """
-    base = titles.select("t").filter("t is not null and t != ''").distinct().withColumn("n", F.length("t"))
-    # partners may be longer by the threshold
-    base = base.withColumn("d", F.floor((F.col("n") / threshold) * (1 - threshold) + 1e-9).cast("int")).withColumns({f"s{k}": sketch(F.col("t"), k) for k in range(4)})
-    base = written(base, "titles")
-    cols = ["t", "n", "d", "s0", "s1", "s2", "s3"]
-    grams = base.filter(F.col("n") - q + 1 > q * F.col("d")).select(*cols, F.posexplode(F.expr(f"transform(sequence(1, n - {q} + 1), i -> substring(t, i, {q}))")).alias("at", "g"))
-    rare = grams.groupBy("g").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("t").orderBy("df", "g", "at")
-    kept = grams.join(rare, "g").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= q * F.col("d") + 1).select(*cols, "at", "g")
-    kept = written(kept, "grams")
-    most = F.floor(F.greatest("x.n", "y.n") * (1 - threshold) + 1e-9)
-    bits = sum((F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(1, 4)), F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))))
-    close = (F.greatest("x.n", "y.n") - F.least("x.n", "y.n") <= most) & (bits <= 4 * most)
-    near = kept.alias("x").join(kept.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.t") < F.col("y.t")) & (F.abs(F.col("x.at") - F.col("y.at")) <= most) & close).select("x.t", F.col("y.t").alias("u"))
-    short = base.filter(F.col("n") - q + 1 <= q * F.col("d"))
-    lengths = base.withColumn("m", F.explode(F.expr("sequence(n - d, n + d)")))
-    by_length = short.alias("x").join(lengths.alias("y"), (F.col("x.n") == F.col("y.m")) & (F.col("x.t") != F.col("y.t")) & close).select(F.least("x.t", "y.t").alias("t"), F.greatest("x.t", "y.t").alias("u"))
-    pairs = written(near.unionByName(by_length).distinct(), "near")
+    base = titles.select("t").filter("t is not null and t != ''").distinct().repartition(TASKS, "t")
+    base = base.withColumn("n", F.length("t")).withColumns({f"s{k}": sketch(F.col("t"), k) for k in range(4)})
+    base = written(written(base, "texts").withColumn("i", F.monotonically_increasing_id()), "titles")
+    parts = max(1, -(-base.count() // PART))
+    sketches = written(with_fine(base), "sketches")
+    part = lambda k: sketches.filter(F.pmod(F.xxhash64("i"), F.lit(parts)) == k).toArrow()
+    # told out anew so that a pass has TASKS tasks however small the files are
+    own = sketches.repartition(TASKS, "i")
+    near = reduce(DataFrame.unionByName, [written(alike(own, part(k), threshold), "near") for k in range(parts)])
+    text_of = lambda own, name: base.select(F.col("i").alias(own), F.col("t").alias(name))
+    pairs = near.join(text_of("i", "x"), "i").join(text_of("j", "y"), "j").select(F.least("x", "y").alias("t"), F.greatest("x", "y").alias("u"))
     # beyond the edits that the longest text allows the distance needn't be finished
     edits = F.levenshtein("t", "u", int((base.agg(F.max("n")).first()[0] or 0) * (1 - threshold) + 1e-9))
     pairs = pairs.withColumn("e", edits).filter("e >= 0").select("t", "u", (F.lit(1.0) - F.col("e") / F.greatest(F.length("t"), F.length("u"))).alias("similarity"))

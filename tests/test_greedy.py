@@ -78,3 +78,19 @@ def test_merge_and_empty(spark):
     new = spark.createDataFrame([(2, "air putih!", "http://x/z"), (3, "Lain sekali ini", "http://x/A"), (4, "Yang baru datang", None), (5, "Yang baru datang.", None)], SCHEMA)
     assert {r.ordinal: r.accepted for r in greedy.merged(old, new, "ordinal", "title", "source_url").collect()} == {2: False, 3: False, 4: True, 5: False}
     assert greedy.fuzzy_unique(old.limit(0), "ordinal", "title", "source_url").count() == 0
+
+
+def test_similar_titles_in_parts_and_without_a_shuffle_of_runs(spark, monkeypatch):
+    """The texts taken in parts give the same, and a text is sent on a few times, not once for each of its runs."""
+    r = random.Random(8)
+    base = "".join(r.choice("abcdefghij ") for _ in range(60))
+    edited = lambda: "".join(r.choice("xyz") if r.random() < 0.06 else c for c in base)
+    rows = [(edited(),) for _ in range(80)]
+    d = sorted({t for t, in rows})
+    monkeypatch.setattr(greedy, "PART", 30)
+    got = {(x.t, x.u) for x in greedy.similar_titles(spark.createDataFrame(rows, "t string")).collect()}
+    assert got == {(a, b) for i, a in enumerate(d) for b in d[i + 1 :] if similar(a, b) >= 0.85} and got
+    seen, real = {}, greedy.written
+    monkeypatch.setattr(greedy, "written", lambda df, name: (lambda x: (seen.update({name: max(x.count(), seen.get(name, 0))}), x)[1])(real(df, name)))
+    greedy.similar_titles(spark.createDataFrame([(f"{k} {base}{k * k}",) for k in range(0, 900, 7)], "t string"))
+    assert max(n for name, n in seen.items() if name not in ("near", "similar")) <= 130
