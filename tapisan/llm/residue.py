@@ -263,8 +263,8 @@ def small(df: DataFrame, n: int, most: int = BROADCAST_KEYS) -> DataFrame:
 class Tables:
     """Labelled pieces in partitioned tables: one for each two of the eight blocks of each of the two SimHashes, both equal in a candidate."""
 
-    def __init__(self, h: np.ndarray, s0: np.ndarray, s1: np.ndarray, n: np.ndarray):
-        self.h, self.s, self.n = h, (s0.view(np.uint64), s1.view(np.uint64)), n
+    def __init__(self, h: np.ndarray, s0: np.ndarray, s1: np.ndarray):
+        self.h, self.s = h, (s0.view(np.uint64), s1.view(np.uint64))
         self.order, self.starts = [], []
         for key in self.keys(s0, s1):
             self.order.append(np.argsort(key, kind="stable").astype(np.int32))
@@ -278,7 +278,7 @@ class Tables:
             for i, j in itertools.combinations(range(8), 2):
                 yield b[i] << 8 | b[j]
 
-    def near(self, h: np.ndarray, s0: np.ndarray, s1: np.ndarray, n: np.ndarray, threshold: float, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    def near(self, h: np.ndarray, s0: np.ndarray, s1: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of the given pieces and of the labelled ones that they may be near to."""
         found = [np.zeros(0, np.int64)]
         a, b = s0.view(np.uint64), s1.view(np.uint64)  # counts of signed numbers would be those of their amounts
@@ -293,14 +293,13 @@ class Tables:
                     y = order[np.repeat(low[cut] - (np.cumsum(m) - m), m) + np.arange(len(x))]
                     ok = np.bitwise_count(a[x] ^ self.s[0][y]).astype(np.int16) + np.bitwise_count(b[x] ^ self.s[1][y]) <= bits
                     x, y = x[ok], y[ok]
-                    # runs that repeat in a piece count in n, so twice the length may be allowed for what their sets allow
-                    ok = (np.minimum(n[x], self.n[y]) >= threshold * np.maximum(n[x], self.n[y]) / 2) & (h[x] != self.h[y])
+                    ok = h[x] != self.h[y]
                     found.append(x[ok] * len(self.h) + y[ok])
         both = np.unique(np.concatenate(found))
         return both // max(1, len(self.h)), both % max(1, len(self.h))
 
 
-def candidates(nodes: DataFrame, fresh: DataFrame, n_fresh: int, threshold: float, bits: int) -> DataFrame:
+def candidates(nodes: DataFrame, fresh: DataFrame, n_fresh: int, bits: int) -> DataFrame:
     """(h, s0, s1, n, a): pieces and the fresh labelled ones a that share a table key and lie within the Hamming distance.
 
     The fresh ones are taken in parts of about PART, one pass over the pieces for each.
@@ -314,11 +313,11 @@ def candidates(nodes: DataFrame, fresh: DataFrame, n_fresh: int, threshold: floa
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tables = None
             for b in batches:
-                tables = tables or Tables(*own)
+                tables = tables or Tables(*own[:3])
                 cols = [b.column(k).to_numpy() for k in range(4)]
                 _, first = np.unique(cols[0], return_index=True)
                 cols = [c[first] for c in cols]
-                x, y = tables.near(*cols, threshold, bits)
+                x, y = tables.near(*cols[:3], bits)
                 yield pa.RecordBatch.from_arrays([*(pa.array(c[x]) for c in cols), pa.array(tables.h[y])], names=[*NODE, "a"])
 
         return nodes.select(*NODE).filter("h is not null").mapInArrow(run, "h bigint, s0 bigint, s1 bigint, n int, a bigint")
@@ -337,7 +336,7 @@ def linked(nodes: DataFrame, labels: DataFrame, fresh: DataFrame, n_labels: int,
         for b in batches:
             yield pd.DataFrame({"h": b["h"], "runs": [runs(p).view(np.int32) for p in b["piece"]]})
 
-    met = candidates(nodes, fresh, n_fresh, threshold, bits)
+    met = candidates(nodes, fresh, n_fresh, bits)
     met = written(met.join(small(labels.select("h"), n_labels), "h", "left_anti").dropDuplicates(["h", "a"]), "open")
     ends = written(met.select(F.explode(F.array("h", "a")).alias("h")).distinct(), "ends")
     pieces_ = nodes.select("h", "piece").join(small(ends, ends.count()), "h", "left_semi").groupBy("h").agg(F.first("piece").alias("piece"))
