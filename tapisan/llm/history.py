@@ -12,7 +12,7 @@ meet all others the exact way: for each number d of edits that a partner may all
 of Q characters (rare ones first), as many as hold d + 1 that don't overlap, its pivots: d edits leave one of them whole. Titles of at
 most SHORT characters are stored under what remains when up to two characters are deleted. None of their pairs is missed.
 
-Common words and the order of runs are fitted once, on a sample, and kept with the tables.
+Common words and the order of runs are fitted once, on all titles, and kept with the tables.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from __future__ import annotations
 import itertools
 import math
 import os
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -45,8 +44,8 @@ COMMON, SPARSE = 0.01, 4
 Q, SHORT = 4, 19
 #: Numbers of edits told apart in the tables, from that among titles no longer; beyond, that of the longest partner counts.
 LEVELS = 16
-#: Titles of the sample that fits common words and the order of runs, and runs whose frequency is kept.
-SAMPLE, MOST_RUNS = 20_000, 100_000
+#: A run's frequency is kept if it is more than one in so many of all titles' runs (the bound of their number).
+MOST_RUNS = 100_000
 #: Slices of the stored tables by bits of the key; a batch reads those of its own keys only.
 SLICES = 256
 BITS = ", ".join(f"{c} bigint" for c in WORDS)
@@ -71,25 +70,28 @@ def address_col(url: Column) -> Column:
 
 
 class Fit:
-    """What a sample of titles tells: common words and how often the most frequent runs occur."""
+    """What all titles tell: common words and how often the most frequent runs occur."""
 
     def __init__(self, common: frozenset[str] = frozenset(), runs: dict[str, int] | None = None):
         self.common, self.runs = common, dict(runs or {})
 
 
 def fit(df: DataFrame, title: str) -> Fit:
-    """Fitted on about SAMPLE titles chosen by hash, twice that at most (the bound). An empty table gives an empty fit."""
-    clean = F.trim(F.regexp_replace(F.lower(F.col(f"`{title}`")), r"[^\p{L}\p{Nd}]+", " "))
-    # a share of the titles by hash first, so that no task sends more than its part of the sample
-    share = int(min(1.0, SAMPLE / max(1, df.count())) * 1_000_000)
-    some = df.select(clean.alias("t")).filter((F.col("t") != "") & (F.pmod(F.xxhash64("t", F.lit(7)), F.lit(1_000_000)) < share)).distinct()
-    own = [r[0] for r in some.limit(2 * SAMPLE).collect()]
-    count, grams = Counter(), Counter()
-    for t in own:
-        count.update(set(words(t)))
-        grams.update(t[k : k + Q] for k in range(len(t) - Q + 1))
-    common = frozenset(w for w, n in count.items() if n > max(5, COMMON * len(own)))
-    return Fit(common, {g: n for g, n in grams.most_common(MOST_RUNS) if n > 1})
+    """Fitted on all different titles, counted as words and runs; only what is frequent comes to the driver. An empty table gives an empty fit."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"t": [" ".join(words(x)) for x in b["title"]]})
+
+    own = written(df.select(F.col(f"`{title}`").alias("title")).mapInPandas(run, "t string").filter("t != ''").distinct(), "titles")
+    count = lambda found: own.select(F.explode(found).alias("x")).groupBy("x").agg(F.count("*").alias("n"))
+    n = own.count()
+    # a title has few words, so that few can be in so many titles
+    common = [r[0] for r in count(F.array_distinct(F.split("t", " "))).filter(F.col("n") > max(5, COMMON * n)).collect()]
+    # fewer than MOST_RUNS runs can be so frequent; the order of the others is that of their hashes
+    many = own.agg(F.sum(F.greatest(F.length("t") - (Q - 1), F.lit(0)))).first()[0] or 0
+    runs = F.expr(f"if(length(t) < {Q}, array(), transform(sequence(1, length(t) - {Q - 1}), i -> substring(t, i, {Q})))")
+    return Fit(frozenset(common), {r[0]: r[1] for r in count(runs).filter(F.col("n") > max(1, many / MOST_RUNS)).collect()})
 
 
 def deletions(t: str, most: int) -> set[str]:

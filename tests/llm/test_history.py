@@ -141,3 +141,16 @@ def test_recall_of_block_tables(spark):
     assert found_of(spark, near, history.Fit()) == pairs_of(near)
     want = pairs_of(far)
     assert len(found_of(spark, far, history.Fit()) & want) >= 0.9 * len(want)
+
+
+def test_the_fit_counts_all_titles(spark):
+    """A word of just over one title in a hundred is common and one of just under is not, whatever titles a sample would have."""
+    n = 50_000
+    word = "case when id < {} then '{}' end"
+    df = spark.range(n).selectExpr(f"concat_ws(' ', {word.format(n // 100 + 5, 'seringkali')}, {word.format(n // 100 - 5, 'kadangkala')}, 'judul' || id) as title")
+    twice = df.unionAll(df).unionAll(spark.createDataFrame([(None,), ("?",), ("ab",)], "title string"))
+    fitted = history.fit(twice, "title")
+    assert fitted.common == {"seringkali"}
+    assert fitted.runs["seri"] == n // 100 + 5 and fitted.runs["kada"] == n // 100 - 5 and fitted.runs["judu"] == n
+    none = history.fit(df.limit(0), "title")
+    assert not none.common and not none.runs
