@@ -27,24 +27,61 @@ LARGE, MUCH = 0.15, 0.02
 
 
 def dearest(sizes: np.ndarray, price: np.ndarray, capacity: int) -> np.ndarray:
-    """The filling (multiplicity of each size) of highest total price: an unbounded knapsack. sizes ascend."""
-    best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    upto = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
-    for c in range(int(sizes[0]) if len(sizes) else capacity + 1, capacity + 1):
-        k = upto[c]
-        value = best[c - sizes[:k]] + price[:k]
-        at = int(value.argmax())
-        if value[at] > best[c - 1] + 1e-15:
-            best[c], took[c] = value[at], at
-        else:
-            best[c] = best[c - 1]
-    out, c = np.zeros(len(sizes), np.int64), capacity
-    while c > 0:
-        if took[c] >= 0:
-            out[took[c]] += 1
-            c -= int(sizes[took[c]])
-        else:
-            c -= 1
+    """The filling (multiplicity of each size) of highest total price: an unbounded knapsack. sizes ascend.
+
+    Fillings of up to half the capacity come first, from sizes that are worth more than any filling of smaller ones. A
+    filling of the whole is the item at which it passes the half, what comes before it and what comes after it, and each of
+    these two is one of up to half.
+    """
+    half = capacity // 2
+    best, took = np.zeros(half + 1), np.full(half + 1, -1)
+    few = int(np.searchsorted(sizes, half, side="right"))
+    own, worth, at, n, k = np.zeros(few, np.int64), np.zeros(few), np.zeros(few, np.int64), 0, 0
+    for c in range(int(sizes[0]) if few else half + 1, half + 1):
+        best[c] = best[c - 1]
+        if n:
+            value = best[c - own[:n]] + worth[:n]
+            top = int(value.argmax())
+            if value[top] > best[c] + 1e-15:
+                best[c], took[c] = value[top], at[top]
+        if k < few and sizes[k] == c:
+            if price[k] > best[c] + 1e-15:
+                best[c], took[c] = price[k], k
+                own[n], worth[n], at[n] = c, price[k], k
+                n += 1
+            k += 1
+    out = np.zeros(len(sizes), np.int64)
+
+    def add(c: int) -> None:
+        while c > 0:
+            if took[c] >= 0:
+                out[took[c]] += 1
+                c -= int(sizes[took[c]])
+            else:
+                c -= 1
+
+    # the item that passes the half (none if all is of up to half), and the room of the parts before and after it
+    most, parts = float(best[half]), (half,)
+    fit = slice(few, int(np.searchsorted(sizes, capacity, side="right")))
+    if fit.stop > few:
+        value = price[fit] + best[capacity - sizes[fit]]
+        top = int(value.argmax())
+        if value[top] > most + 1e-15:
+            most, parts = value[top], (few + top, 0, capacity - int(sizes[few + top]))
+    if n:
+        # row i: what comes after item i and the first part of 0 to half, as windows of the best fillings from full to empty
+        after = np.lib.stride_tricks.sliding_window_view(np.r_[best, np.full(capacity - half, best[half])][::-1], half + 1)
+        value = after[own[:n]]
+        value += best
+        both = value.max(axis=1) + worth[:n]
+        i = int(both.argmax())
+        if both[i] > most + 1e-15:
+            first = int(value[i].argmax())
+            parts = (int(at[i]), first, min(capacity - int(own[i]) - first, half))
+    if len(parts) > 1:
+        out[parts[0]] += 1
+    for c in parts[-2:] if len(parts) > 1 else parts:
+        add(c)
     return out
 
 
