@@ -3,37 +3,45 @@
 Stored pages have lost their tags but not their tree: the page has blocks (parted by blank lines), blocks have lines. A
 line's features are its own density and tokens (attribute tokens of the tree's place: bullets, pipes, arrows, the site's
 own name, what its words say), its depth and position, and statistics of its siblings and neighbours. Trees are fitted on
-a bounded sample whose lines are labelled by signals that look at no wording: that a line comes back in other pages, names
+the lines of all pages, labelled by signals that look at no wording: that a line comes back in other pages, names
 its site or is a row of names, or is long prose or holds words that hardly any page has. Lines without a signal are left to
-the trees. Decoding goes from the page to its blocks to their lines: a dropped block drops all its lines, a kept block keeps
+the trees. What comes back and what is rare is counted over all pages and measured as a share of them. Decoding goes from the page to its blocks to their lines: a dropped block drops all its lines, a kept block keeps
 at least one.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
+from pyspark import BarrierTaskContext, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapisan.llm.boosting import BoostedTrees
-from tapisan.llm.lines import MONTHS, form
+from tapisan.config import small_rows, written
+from tapisan.llm.boosting import BoostedTrees, Circle, Part, codes
+from tapisan.llm.lines import DIGITS, MONTHS
 from tapisan.llm.text import SPACE, site_col, words
 
 MARKER = re.compile(r"^(?:([›»>|]+|\*\*)|([*•–-])|(\d+[.)])|(\d+)\s)\s*")
 ENDS, ITEM, LETTERS = re.compile(r"[.!?](?:\s|$)"), re.compile(r"^(?:[*•–-]|\d+[.)])\s+[a-zà-ÿ]"), re.compile(r"[^\W\d_]+")
 N_FEATURES = 40
-#: Rows of the sample on which trees are fitted (the bound), and words whose statistics are kept.
-SAMPLE_ROWS, MOST_WORDS = 1500, 50_000
-#: Pages of the sample from which a form, or a form without its uncommon words, comes back; pages below which a word is rare.
-FORM_PAGES, SKELETON_PAGES, RARE_PAGES = 4, 5, 3
+#: Pages from which a form, or a form without its uncommon words, comes back; pages below which a word is rare. They are of
+#: up to OUT_OF pages; of more pages they are the same share.
+FORM_PAGES, SKELETON_PAGES, RARE_PAGES, OUT_OF = 4, 5, 3, 1500
 #: Share of the pages from which a word is common; characters from which a line is long.
 COMMON, LONG = 0.01, 120
+#: Counts that a task keeps before it passes them on; lines in a row of the table of features.
+KEPT_COUNTS, ROW_LINES = 300_000, 4096
+#: Bounds of what is read to the driver: words and keys that are so frequent a share of the pages, and codes of features.
+MOST_SHARED, MOST_CELLS = 2_000_000, N_FEATURES * 2**16
 
 
 def blocks(text: str | None) -> list[list[str]]:
@@ -48,47 +56,101 @@ def blocks(text: str | None) -> list[list[str]]:
     return out if out[-1] else out[:-1]
 
 
+@lru_cache(10_000)
 def squeezed(site: str | None) -> str:
     """The site's own name as it stands in its host."""
     return re.sub(r"[\W_]+", "", (site or "").rsplit(".", 1)[0].rsplit(".", 1)[-1])
 
 
+def share(least: int, pages: int) -> float:
+    """`least` of OUT_OF pages as a number of so many pages, not under `least`."""
+    return max(least, least * pages / OUT_OF)
+
+
+def page_words(bs: list[list[str]]) -> set[str]:
+    return {w for b in bs for x in b for w in words(x)}
+
+
 class Signals:
-    """What the sample's pages tell of a line without looking at its wording."""
+    """What all pages tell of a line without looking at its wording. Made from pages, or from counts over a table by `words` and `keys`."""
 
-    def __init__(self, pages: list[tuple[str | None, list[list[str]]]]):
-        self.pages = Counter()
+    def __init__(self, pages: list[tuple[str | None, list[list[str]]]] = ()):
+        found = Counter()
         for _, bs in pages:
-            self.pages.update({w for b in bs for x in b for w in words(x)})
-        self.common = max(RARE_PAGES, COMMON * len(pages))
-        self.forms, self.skeletons = Counter(), Counter()
+            found.update(page_words(bs))
+        self.with_words(found, len(pages))
+        keys = Counter()
         for s, bs in pages:
-            lines = [x for b in bs for x in b]
-            self.forms.update({(s, form(x)) for x in lines})
-            self.skeletons.update({self.skeleton(x) for x in lines})
+            keys.update(self.page_keys(s, bs))
+        self.with_keys(keys)
+
+    def with_words(self, found: dict[str, int], pages: int) -> Signals:
+        """found: pages of each word; rare ones are left out."""
+        self.n, rare, common = pages, share(RARE_PAGES, pages), max(share(RARE_PAGES, pages), COMMON * pages)
+        self.pages = {w: n for w, n in found.items() if n >= rare}
+        self.common = {w for w, n in self.pages.items() if n >= common and not w.isdigit()}
+        return self
+
+    def with_keys(self, found: dict[int, int]) -> Signals:
+        """found: pages of each key; those of forms are even, those of skeletons odd."""
+        least = share(FORM_PAGES, self.n), share(SKELETON_PAGES, self.n)
+        self.hot = {k for k, n in found.items() if n >= least[k & 1]}
+        return self
 
-    def skeleton(self, line: str) -> str:
+    def skeleton(self, ws: list[str]) -> str:
         """The line's words with numbers as 0 and uncommon words as _."""
-        return " ".join("0" if w.isdigit() else w if self.pages[w] >= self.common else "_" for w in words(line))
+        common = self.common
+        return " ".join([w if w in common else "0" if w.isdigit() else "_" for w in ws])
 
-    def label(self, site: str | None, line: str) -> int | None:
-        """1 around, 0 body, None unknown; the first signal counts."""
-        name, ws, raw = squeezed(site), words(line), line.split()
-        if name and name in "".join(ws) and len(line) < LONG + 20:
+    @staticmethod
+    def form_key(site: str | None, ws: list[str]) -> int:
+        return (xxhash.xxh3_64_intdigest(f"{site or ''}\0{DIGITS.sub('0', ' '.join(ws))}") >> 2) << 1
+
+    def skeleton_key(self, ws: list[str]) -> int:
+        return (xxhash.xxh3_64_intdigest(self.skeleton(ws)) >> 2) << 1 | 1
+
+    def page_keys(self, site: str | None, bs: list[list[str]]) -> set[int]:
+        out = set()
+        for b in bs:
+            for x in b:
+                ws = words(x)
+                out.add(self.form_key(site, ws))
+                out.add(self.skeleton_key(ws))
+        return out
+
+    def label(self, site: str | None, line: str, ws: list[str] | None = None) -> int | None:
+        """1 around, 0 body, None unknown; the first signal counts. ws: the line's words."""
+        ws = words(line) if ws is None else ws
+        name, pages, short = squeezed(site), self.pages, len(line) < LONG + 20
+        if short and name and name in "".join(ws):
             return 1  # speaks of its site
-        if self.forms[site, form(line)] >= FORM_PAGES:
+        if self.form_key(site, ws) in self.hot:
             return 1
-        ends = len(ENDS.findall(line))
-        if len(raw) >= 5 and not ends and sum(w[0].isupper() for w in raw[1:]) >= 3:
+        raw = line.split()
+        if len(raw) >= 5 and len([w for w in raw[1:] if w[0].isupper()]) >= 3 and not ENDS.search(line):
             return 1  # a row of names, such as another page's title
-        if any(w.islower() and len(w) > 2 and self.pages[w] < RARE_PAGES and not MONTHS.match(w) for w in LETTERS.findall(line)):
+        if [w for w in LETTERS.findall(line) if w not in pages and len(w) > 2 and w.islower() and not MONTHS.match(w)]:
             return 0  # what it says is its own
-        if len(line) < LONG + 20 and self.skeletons[self.skeleton(line)] >= SKELETON_PAGES:
+        if short and self.skeleton_key(ws) in self.hot:
             return 1
-        if (len(line) > LONG and ends) or ITEM.match(line):
+        if (len(line) > LONG and ENDS.search(line)) or ITEM.match(line):
             return 0
         return None
 
+    def labels(self, site: str | None, bs: list[list[str]], said: tuple[Counter, Counter]) -> np.ndarray:
+        """The labels of a page's lines; -1 is unknown. Adds the words of labelled lines to those of (body, around); "" counts all, others only if they aren't rare."""
+        out, pages = [], self.pages
+        for b in bs:
+            for x in b:
+                ws = words(x)
+                label = self.label(site, x, ws)
+                out.append(-1 if label is None else label)
+                if label is not None:
+                    found = [w for w in set(ws) if w.isalpha()]
+                    said[label][""] += len(found)
+                    said[label].update([w for w in found if w in pages])
+        return np.array(out, np.int8)
+
 
 class LineModel:
     """Word statistics and boosted trees; fitted by `fit`, applied by `marks`."""
@@ -101,42 +163,35 @@ class LineModel:
         """texts: (site, body) pairs."""
         parsed = [(s, blocks(t)) for s, t in texts]
         signals = Signals(parsed)
-        labels = [[signals.label(s, x) for b in bs for x in b] for s, bs in parsed]
-        around, body = Counter(), Counter()
-        for (_, bs), own in zip(parsed, labels):
-            for x, label in zip((x for b in bs for x in b), own):
-                if label is not None:
-                    (around if label else body).update(self.tokens(x))
-        na, nb = sum(around.values()) + 1, sum(body.values()) + 1
-        keep = [w for w, n in signals.pages.most_common(MOST_WORDS) if n >= RARE_PAGES]
-        docs = max(1, len(parsed))
-        self.words = {w: (math.log((around[w] + 0.5) / na) - math.log((body[w] + 0.5) / nb), math.log(docs / signals.pages[w])) for w in keep}
-        feats, y = [], []
-        for (s, bs), own in zip(parsed, labels):
-            x = self.features([s], [bs])
-            at = [i for i, v in enumerate(own) if v is not None]
-            feats.append(x[at])
-            y += [own[i] for i in at]
-        x = np.concatenate(feats) if feats else np.zeros((0, N_FEATURES), np.float32)
-        self.trees.fit(x, np.array(y, float))
+        said: tuple[Counter, Counter] = Counter(), Counter()
+        labels = [signals.labels(s, bs, said) for s, bs in parsed]
+        self.with_odds({w: (said[1][w], said[0][w]) for w in signals.pages}, said[1][""], said[0][""], signals)
+        y = np.concatenate(labels) if labels else np.zeros(0, np.int8)
+        self.trees.fit(self.features([s for s, _ in parsed], [bs for _, bs in parsed])[y >= 0], y[y >= 0].astype(float))
         return self
 
-    @staticmethod
-    def tokens(line: str) -> set[str]:
-        return {w.lower() for w in re.findall(r"[^\W\d_]+", line)}
+    def with_odds(self, said: dict[str, tuple[int, int]], around: int, body: int, signals: Signals) -> LineModel:
+        """said: lines (around, body) with each word; around, body: all tokens of such lines."""
+        none = (0, 0)
+        for w, n in signals.pages.items():
+            a, b = said.get(w, none)
+            self.words[w] = math.log((a + 0.5) / (around + 1)) - math.log((b + 0.5) / (body + 1)), math.log(signals.n / n)
+        return self
 
     def own(self, name: str, line: str) -> list[float]:
         """Features of the line by itself."""
         raw = line.split()
         ws = words(line)
-        known = [self.words[w] for w in set(ws) if w in self.words]
-        lower = len([w for w in raw if w.isalpha() and w.islower() and w not in self.words])
+        odds_of = self.words
+        known = [k for k in map(odds_of.get, set(ws)) if k]
+        lower = len([w for w in raw if w not in odds_of and w.islower() and w.isalpha()])
+        digits = len([w for w in ws if w.isdigit()]) if DIGITS.search(line) else 0
         m = MARKER.match(line)
         caps = len([w for w in raw[1:] if w[0].isupper()])
         odds = [o for o, _ in known]
         last = line[-1]
         return [
-            len(line), len(ws), caps, caps / max(1, len(raw) - 1), line.isupper(), len([w for w in ws if w.isdigit()]),
+            len(line), len(ws), caps, caps / max(1, len(raw) - 1), line.isupper(), digits,
             last in ".!?”\"", last == "?", last == ".", line.count("|"), line.count(" > ") + line.count("»") + line.count(" / "), line.count(":"), line.count(","), " - " in line, "(" in line, "©" in line,
             m.lastindex or 0 if m else 0, lower, lower / max(1, len(raw)), sum(odds), max(odds, default=0.0), min(odds, default=0.0), sum(odds) / max(1, len(odds)), sum([i for _, i in known]) / max(1, len(known)),
             bool(name) and name in "".join(ws), line.count(". ") + 1,
@@ -215,12 +270,162 @@ class LineModel:
         return drop
 
 
-def fit_on(df: DataFrame, id_col: str, body: str, url: str, sample: int = SAMPLE_ROWS) -> LineModel:
-    """A model fitted on about `sample` rows (the bound), chosen by hash of the id; signals label their lines."""
-    rows = df.select(F.col(f"`{id_col}`").cast("string").alias("id"), site_col(F.col(f"`{url}`")).alias("site"), F.col(f"`{body}`").alias("body"))
-    n = max(1, rows.select("id").count())
-    chosen = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(min(1.0, sample / n) * 1_000_000)).filter("body is not null").limit(2 * sample)
-    return LineModel().fit([(r["site"], r["body"]) for r in chosen.collect()])
+def counted(rows: DataFrame, found: Callable[[str | None, list[list[str]]], set], key: str, total: object) -> DataFrame:
+    """(key, n): how many pages have each of what `found` gives, and as `total` all pages."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: Counter = Counter()
+        for b in batches:
+            for s, t in zip(b["site"], b["body"]):
+                n.update(found(s, blocks(t)))
+                if len(n) > KEPT_COUNTS:
+                    yield pd.DataFrame({"key": list(n.keys()), "n": list(n.values())})
+                    n = Counter()
+            n[total] += len(b)
+        yield pd.DataFrame({"key": list(n.keys()), "n": list(n.values())})
+
+    return rows.mapInPandas(run, f"key {key}, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def signals_of(rows: DataFrame) -> Signals:
+    """Signals of all pages; what is frequent enough to matter is at most the mean of a page's words, or lines, over its share."""
+    signals = Signals()
+    found = written(counted(rows, lambda _, bs: page_words(bs), "string", "").filter(f"n >= {RARE_PAGES} or key = ''"), "words")
+    pages = sum(r["n"] for r in found.filter("key = ''").collect())
+    least = found.filter(F.col("n") >= share(RARE_PAGES, pages)).filter("key != ''")
+    signals.with_words({r["key"]: r["n"] for r in small_rows(least, MOST_SHARED, "words that aren't rare")}, pages)
+    keys = counted(rows, signals.page_keys, "bigint", -1).filter("key >= 0")
+    keys = keys.filter(F.col("n") >= F.when(F.col("key") % 2 == 0, share(FORM_PAGES, pages)).otherwise(share(SKELETON_PAGES, pages)))
+    return signals.with_keys({r["key"]: r["n"] for r in small_rows(keys, MOST_SHARED, "lines that come back")})
+
+
+def labelled_pages(rows: DataFrame, signals: Signals) -> DataFrame:
+    """All pages with the labels of their lines; besides, each task's number of labelled lines (around, inside) by word."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        said: tuple[Counter, Counter] = Counter(), Counter()
+        none = {"words": None, "around": None, "inside": None}
+        for b in batches:
+            labels = [signals.labels(s, blocks(t), said).tobytes() for s, t in zip(b["site"], b["body"])]
+            yield pd.DataFrame({"id": b["id"], "site": b["site"], "body": b["body"], "labels": labels, **none})
+        ws = list(said[0].keys() | said[1].keys())
+        yield pd.DataFrame({"id": [None], "site": [None], "body": [None], "labels": [None], "words": [ws], "around": [[said[1][w] for w in ws]], "inside": [[said[0][w] for w in ws]]})
+
+    return rows.mapInPandas(run, "id string, site string, body string, labels binary, words array<string>, around array<bigint>, inside array<bigint>")
+
+
+def odds_of(pages: DataFrame, signals: Signals) -> LineModel:
+    """A model with the word odds of the labelled lines of all pages, without trees."""
+    n = pages.filter("words is not null").select(F.explode(F.arrays_zip("words", "around", "inside")).alias("x"))
+    n = n.groupBy("x.words").agg(F.sum("x.around").alias("around"), F.sum("x.inside").alias("inside"))
+    said = {r["words"]: (r["around"], r["inside"]) for r in small_rows(n, MOST_SHARED, "words that aren't rare")}
+    return LineModel().with_odds(said, *said.get("", (0, 0)), signals)
+
+
+def page_features(pages: DataFrame, model: LineModel) -> DataFrame:
+    """Features of all lines as codes, feature by feature, with their labels, pages of about ROW_LINES lines to a row.
+
+    `blocks` has each page's number of blocks and their lines. Besides, each task's number of labelled lines by feature and code.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache: dict = {}
+        n, task, no = np.zeros(N_FEATURES << 16, np.int64), TaskContext.get().partitionId(), 0
+        first = (np.arange(N_FEATURES, dtype=np.int64) << 16)[:, None]
+        for b in batches:
+            if len(cache) > 200_000:
+                cache.clear()
+            parsed = [blocks(t) for t in b["body"]]
+            y = np.frombuffer(b"".join(b["labels"]), np.int8)
+            c = np.ascontiguousarray(codes(model.features(b["site"].tolist(), parsed, cache)).T)
+            n += np.bincount((c[:, y >= 0] + first).ravel(), minlength=len(n))
+            size = np.array([sum(map(len, bs)) for bs in parsed], np.int64)
+            end = np.cumsum(size)
+            group, out = (end - size) // ROW_LINES, []
+            cut = np.r_[0, np.flatnonzero(np.diff(group)) + 1, len(size)]
+            for i, j in zip(cut[:-1], cut[1:]):
+                at = slice(int(end[i] - size[i]), int(end[j - 1]))
+                shape = np.array([k for bs in parsed[i:j] for k in (len(bs), *map(len, bs))], np.int32)
+                out.append((task, no + len(out), b["id"].iloc[i:j].tolist(), shape.tobytes(), c[:, at].tobytes(), y[at].tobytes(), None, None))
+            no += len(out)
+            yield pd.DataFrame(out, columns=names)
+        cells = np.flatnonzero(n)
+        yield pd.DataFrame([(task, -1, None, None, None, None, cells, n[cells])], columns=names)
+
+    names = ["task", "no", "ids", "blocks", "codes", "labels", "cells", "n"]
+    known = pages.filter("body is not null").select("id", "site", "body", "labels")
+    return known.mapInPandas(run, "task int, no int, ids array<string>, blocks binary, codes binary, labels binary, cells array<bigint>, n array<bigint>")
+
+
+def fit_trees(lines: DataFrame, trees: BoostedTrees) -> np.ndarray:
+    """Fits the trees on the labelled lines of `page_features`, by a barrier stage of as many tasks as run at once; needs a fixed number of executors. Returns features x codes: the bin."""
+    pair = F.explode(F.arrays_zip("cells", "n")).alias("x")
+    found = lines.filter("no < 0").select(pair).groupBy("x.cells").agg(F.sum("x.n").alias("n"))
+    cells = np.array(sorted((r["cells"], r["n"]) for r in small_rows(found, MOST_CELLS, "codes")), np.int64).reshape(-1, 2)
+    of = cells[:, 0] >> 16
+    bins = trees.set_edges([((cells[of == f, 0] & 0xFFFF).astype(np.uint16), cells[of == f, 1]) for f in range(N_FEATURES)])
+    if not len(cells):
+        trees.fit(np.zeros((0, N_FEATURES), np.float32), np.zeros(0))
+        return bins
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, part = BarrierTaskContext.get(), Part(N_FEATURES)
+        for b in batches:
+            for c, y in zip(b["codes"], b["labels"]):
+                y = np.frombuffer(y, np.int8)
+                part.add(binned(bins, c)[:, y >= 0], y[y >= 0])
+        circle = Circle(task)
+        fitted = trees.fit_parts(part.done(), circle.me, circle)
+        circle.close()
+        if not circle.me:
+            yield pd.DataFrame({"trees": [pickle.dumps(fitted)]})
+
+    tasks = lines.sparkSession.sparkContext.defaultParallelism
+    own = lines.filter("no >= 0").repartition(tasks, "task", "no").sortWithinPartitions("task", "no").select("codes", "labels")
+    trees.__dict__.update(pickle.loads(own.mapInPandas(run, "trees binary", barrier=True).collect()[0]["trees"]).__dict__)
+    return bins
+
+
+def binned(bins: np.ndarray, c: bytes) -> np.ndarray:
+    """Bins of codes, features x lines."""
+    return np.stack([b[x] for b, x in zip(bins, np.frombuffer(c, np.uint16).reshape(N_FEATURES, -1))])
+
+
+def fitted(df: DataFrame, id_col: str, body: str, url: str) -> tuple[LineModel, DataFrame, np.ndarray]:
+    """A model of all pages: words and lines are counted over all of them, signals label their lines, the trees are of all labelled lines. With it the features of all lines and the bins of their codes."""
+    rows = df.select(F.col(f"`{id_col}`").cast("string").alias("id"), site_col(F.col(f"`{url}`")).alias("site"), F.col(f"`{body}`").alias("body")).filter("body is not null")
+    signals = signals_of(rows.select("site", "body"))
+    pages = written(labelled_pages(rows, signals), "pages")
+    model = odds_of(pages, signals)
+    lines = written(page_features(pages, model), "lines")
+    return model, lines, fit_trees(lines, model.trees)
+
+
+def fit_on(df: DataFrame, id_col: str, body: str, url: str) -> LineModel:
+    """A model fitted on all pages, for other pages."""
+    return fitted(df, id_col, body, url)[0]
+
+
+def own_surrounding_lines(df: DataFrame, id_col: str, body: str, url: str) -> DataFrame:
+    """`surrounding_lines` by a model fitted on the same pages, whose features are computed once."""
+    model, lines, bins = fitted(df, id_col, body, url)
+    trees = model.trees
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ids, no = [], []
+            for own, shape, c in zip(b["ids"], b["blocks"], b["codes"]):
+                scores, shape, at, k = trees.score_bins(binned(bins, c)), np.frombuffer(shape, np.int32).tolist(), 0, 0
+                for i in own:
+                    bs = [range(x) for x in shape[k + 1 : k + 1 + shape[k]]]
+                    n, k = sum(map(len, bs)), k + 1 + len(bs)
+                    drop = np.flatnonzero(LineModel.decode(bs, scores[at : at + n])) + 1
+                    at += n
+                    ids += [i] * len(drop)
+                    no.append(drop)
+            yield pd.DataFrame({"id": ids, "line_no": np.concatenate(no).astype(np.int32) if no else np.zeros(0, np.int32)})
+
+    found = lines.filter("no >= 0").select("ids", "blocks", "codes").mapInPandas(run, "id string, line_no int")
+    return found.select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), "line_no")
 
 
 def surrounding_lines(df: DataFrame, id_col: str, body: str, url: str, model: LineModel) -> DataFrame:

@@ -115,16 +115,14 @@ def p5_batches(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     articles = read_table(spark, sf, "articles")
-    model = mainbody.fit_on(articles, "ordinal", "description", "source_url")
-    return mainbody.surrounding_lines(articles, "ordinal", "description", "source_url", model)
+    return mainbody.own_surrounding_lines(articles, "ordinal", "description", "source_url")
 
 
 @query
 def p6_main_bodies(spark: SparkSession, sf: str) -> DataFrame:
     """Every article's description with its own body only."""
     articles = read_table(spark, sf, "articles").select("ordinal", "description", "source_url")
-    model = mainbody.fit_on(articles, "ordinal", "description", "source_url")
-    drop = mainbody.surrounding_lines(articles, "ordinal", "description", "source_url", model)
+    drop = mainbody.own_surrounding_lines(articles, "ordinal", "description", "source_url")
     return repeated.without_lines(articles, "ordinal", "description", drop).select("ordinal", F.md5("description").alias("description_md5"), F.length("description").alias("n_chars"))
 
 

@@ -1,6 +1,8 @@
+import math
 import random
 
 import numpy as np
+import pytest
 
 from tapisan.llm import boosting, mainbody
 
@@ -61,3 +63,53 @@ def test_pages_of_another_time_and_what_each_part_gives():
     assert total > 400 and right >= 0.97 * total
     signals = mainbody.Signals([("info-zizai.test", mainbody.blocks(pair(p)[1])) for p in fit])
     assert signals.label("info-zizai.test", "Obat boleh diminum.") is None
+
+
+def test_words_are_counted_over_all_pages(spark):
+    """More pages than the 1,500 that were once fitted on: odds and rarity are of all of them."""
+    text = lambda i: f"Beranda | Masuk\n\nObat ini hanya boleh diminum{' jarang' * (i % 400 == 0)}{' langka' * (i % 1000 == 0)} setiap pagi."
+    df = spark.createDataFrame([(i, text(i), "https://x.test/a") for i in range(4000)], "k bigint, body string, url string")
+    model = mainbody.fit_on(df, "k", "body", "url")
+    assert model.words["jarang"][1] == pytest.approx(math.log(400)) and model.words["obat"][1] == 0
+    assert "langka" not in model.words  # 4 of 4,000 pages are fewer than 3 of 1,500
+
+
+def test_own_lines_are_those_of_the_fitted_model(spark):
+    r = random.Random(4)
+    rows = [(str(i) if i else None, "\n".join(x for x, _ in page(r)), "https://info-zizai.test/a") for i in range(150)] + [("e", "", None), ("n", None, None)]
+    df = spark.createDataFrame(rows, "k string, body string, url string")
+    model = mainbody.fit_on(df, "k", "body", "url")
+    want = sorted(map(str, mainbody.surrounding_lines(df, "k", "body", "url", model).collect()))
+    assert len(want) > 500 and sorted(map(str, mainbody.own_surrounding_lines(df, "k", "body", "url").collect())) == want
+    assert mainbody.own_surrounding_lines(df.limit(0), "k", "body", "url").count() == 0
+
+
+def test_parts_fit_together():
+    """Each of three tasks has its own rows; all get the same trees, which know what only one task's rows show."""
+    from threading import Barrier, Thread
+
+    r = np.random.default_rng(2)
+    x = r.random((90_000, 4)).astype(np.float32)
+    x[:, 2] = (x[:, 2] > 0.5) & (np.arange(90_000) >= 60_000)
+    y = ((x[:, 0] > 0.5) ^ ((x[:, 2] == 1) & (x[:, 3] > 0.25))).astype(float)
+    c = boosting.codes(x)
+    trees, told, wait = [boosting.BoostedTrees(trees=40) for _ in range(3)], [b""] * 3, Barrier(3)
+
+    def task(k):
+        def exchange(m):
+            told[k] = m
+            wait.wait()
+            out = list(told)
+            wait.wait()
+            return out
+
+        bins, part = trees[k].set_edges([np.unique(c[:, f], return_counts=True) for f in range(4)]), boosting.Part(4)
+        own = slice(30_000 * k, 30_000 * (k + 1))
+        part.add(np.stack([b[v] for b, v in zip(bins, c[own].T)]), y[own])
+        trees[k].fit_parts(part.done(), k, exchange)
+
+    run = [Thread(target=task, args=(k,)) for k in range(3)]
+    [t.start() for t in run]
+    [t.join() for t in run]
+    assert all(np.array_equal(trees[0].leaves, t.leaves) and np.array_equal(trees[0].feature, t.feature) for t in trees)
+    assert len(trees[0].leaves) == 40 and ((trees[0].score(x) > 0) == y).mean() > 0.96
