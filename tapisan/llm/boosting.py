@@ -175,26 +175,37 @@ class BoostedTrees:
         self.cut = np.vstack([self.cut, np.array(cuts, np.uint8)])
         self.leaves = np.vstack([self.leaves, value])
 
+    def sums(self, b: np.ndarray, leaf: np.ndarray, g: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+        """(g, h) x features x leaves x bins."""
+        out, start = np.empty((2, len(b), n * self.bins)), leaf * self.bins
+        for f, x in enumerate(b):
+            at = start + x
+            out[0, f], out[1, f] = np.bincount(at, g, n * self.bins), np.bincount(at, h, n * self.bins)
+        return out.reshape(2, len(b), n, self.bins)
+
     def splits(self, b: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[list[int], list[int]]:
         """The best split of each level, one level after another; b: features x rows."""
-        leaf = np.zeros(len(g), np.int64)
-        feats, cuts = [], []
+        leaf, right = np.zeros(len(g), np.intp), np.zeros(len(g), bool)
+        feats, cuts, b = [], [], b.astype(np.intp)
+        none = np.arange(self.bins) >= np.array([len(e) for e in self.edges])[:, None]
+        sums = self.sums(b, leaf, g, h, 1)
         for level in range(self.depth):
-            n, best = 2**level, (-1.0, 0, 0)
-            for f in range(len(b)):
-                if not len(self.edges[f]):
-                    continue
-                at = leaf * self.bins + b[f]
-                gs = np.bincount(at, g, n * self.bins).reshape(n, self.bins).cumsum(axis=1)
-                hs = np.bincount(at, h, n * self.bins).reshape(n, self.bins).cumsum(axis=1)
-                gt, ht = gs[:, -1:], hs[:, -1:]
-                gain = (gs**2 / (hs + self.ridge) + (gt - gs) ** 2 / (ht - hs + self.ridge)).sum(axis=0)[: len(self.edges[f])]
-                k = int(gain.argmax())
-                if gain[k] > best[0]:
-                    best = (float(gain[k]), f, k)
-            feats.append(best[1])
-            cuts.append(best[2])
-            leaf = leaf * 2 + (b[best[1]] > best[2])
+            if level:  # of two halves the smaller one is summed, the other is the rest
+                n = 2 ** (level - 1)
+                less = np.bincount(leaf, right, n) * 2 <= np.bincount(leaf, minlength=n)
+                at = np.flatnonzero(right == less[leaf])
+                some = self.sums(b[:, at], leaf[at], g[at], h[at], n)
+                rest, less = sums - some, less[:, None]
+                sums = np.stack([np.where(less, rest, some), np.where(less, some, rest)], axis=3).reshape(2, len(b), 2 * n, self.bins)
+                leaf = leaf * 2 + right
+            gs, hs = sums.cumsum(axis=3)
+            gt, ht = gs[:, :, -1:], hs[:, :, -1:]
+            gain = (gs**2 / (hs + self.ridge) + (gt - gs) ** 2 / (ht - hs + self.ridge)).sum(axis=1)
+            gain[none] = -1.0
+            f, k = divmod(int(gain.argmax()), self.bins)
+            feats.append(f)
+            cuts.append(k)
+            right = b[f] > k
         return feats, cuts
 
     @staticmethod

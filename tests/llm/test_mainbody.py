@@ -113,3 +113,49 @@ def test_parts_fit_together():
     [t.join() for t in run]
     assert all(np.array_equal(trees[0].leaves, t.leaves) and np.array_equal(trees[0].feature, t.feature) for t in trees)
     assert len(trees[0].leaves) == 40 and ((trees[0].score(x) > 0) == y).mean() > 0.96
+
+
+def test_lines_are_read_once_for_labels_and_features(monkeypatch):
+    """Words, then forms, then labels with features: a line is split into words three times, which it was four times."""
+    r = random.Random(12)
+    texts = [("info-zizai.test", f"Obat {i} x{r.random()} hanya boleh diminum.\nMinum {i} y{r.random()} kali") for i in range(200)]
+    count, plain = [0], mainbody.words
+    monkeypatch.setattr(mainbody, "words", lambda x: count.__setitem__(0, count[0] + 1) or plain(x))
+    mainbody.LineModel().fit(texts)
+    assert count[0] == 3 * 400
+
+
+def test_own_words_are_those_of_the_plain_rule():
+    pool = ["obat", "Obat", "langka", "Langka", "kg", "5kg", "langka19", "LANGKA19", "x²y", "İstanbul", "straße", "ΟΔΟΣ", "kata_langka", "12", "日本語", "ªb", "éti", "enero", "mayo", "."]
+    r, got = random.Random(13), set()
+    signals = mainbody.Signals([(None, [["obat kata x langkanya"]])] * 5)
+    for _ in range(4000):
+        line = "x" + "".join(r.choice(pool) + r.choice([" ", "", "-", "\t"]) for _ in range(r.randrange(4)))
+        ws = mainbody.words(line)
+        want = [w for w in mainbody.LETTERS.findall(line) if w not in signals.pages and len(w) > 2 and w.islower() and not mainbody.MONTHS.match(w)]
+        assert signals.says_its_own(line, set(ws), "".join(ws).isalpha()) == bool(want), line
+        got.add(bool(want))
+    assert got == {False, True}
+
+
+def test_split_search_sums_a_smaller_half(monkeypatch):
+    """From the second level on half of the rows are summed at most; the splits are those of all rows' sums."""
+    r = np.random.default_rng(14)
+    n, m = 5000, boosting.BoostedTrees()
+    m.edges = [np.arange(47.0), np.arange(20.0), np.zeros(0), np.arange(47.0)]
+    b = np.stack([r.integers(0, len(e) + 1, n) for e in m.edges]).astype(np.uint8)
+    g, h = (r.integers(-(2**20), 2**20, n) + (b[0] > 9) * (b[3] > 30) * 2**20) * boosting.UNIT, r.integers(1, 2**18, n) * boosting.UNIT
+    summed, plain = [0], np.bincount
+    with monkeypatch.context() as p:
+        p.setattr(boosting.np, "bincount", lambda x, w=None, *a, **k: summed.__setitem__(0, summed[0] + len(x) * (w is g or w is h or len(x) < n)) or plain(x, w, *a, **k))
+        feats, cuts = m.splits(b, g, h)
+    assert summed[0] <= 2 * len(b) * n * (1 + (m.depth - 1) / 2)
+    leaf = np.zeros(n, np.int64)
+    for f, c in zip(feats, cuts):
+        gains = {}
+        for k, e in enumerate(m.edges):
+            for j in range(len(e)):
+                at = leaf * 2 + (b[k] > j)
+                gains[k, j] = (plain(at, g, 64) ** 2 / (plain(at, h, 64) + m.ridge)).sum()
+        assert gains[f, c] == pytest.approx(max(gains.values()), rel=1e-12)
+        leaf = leaf * 2 + (b[f] > c)
